@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files lie on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 

@@ -46,6 +46,21 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return left.withColumn("_salt", salt.cast("long")).join(copies, [key, "_salt"], how).drop("_salt")
 
 
+#: Rows of a side that is sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def small_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join with a side that is usually small and is unique in ``key``.
+
+    ``right`` must be cheap to count, such as a table from ``cut``. It is broadcast if it has at
+    most ``BROADCAST_ROWS`` rows; else the join is salted.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    return salted_join(left, right, key, how)
+
+
 def _fingerprint(df: DataFrame) -> tuple:
     """Row count and an order-free hash of all rows."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, sharding, simhash_dedup, source_mixing, token_counts
+from . import best_fit_packing, line_dedup, sharding, simhash_dedup, source_mixing, token_counts, toxicity
 from .common import table, tokenizer_path
 
 
@@ -24,6 +24,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "row.text", "n_lines", "n_removed")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,6 +43,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_counts": op4_token_counts,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 

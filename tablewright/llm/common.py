@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Copies of the small side in a salted join; a hot key is spread over as many tasks.
@@ -29,12 +30,50 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in
     tests on one machine, a folder of our own is used.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    _ensure_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _ensure_folder(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the checkpoint folder and read again, and where it lies."""
+    spark = df.sparkSession
+    _ensure_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``stored`` has written."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def text_code(text: Column) -> Column:
+    """A hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def matched(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Join ``docs`` to ``found``, a row for each pair of doc_id and code (a hash of the text).
+
+    The result has all of a document as the struct ``row``, the other columns of ``found``, and
+    ``copy``: 1, 2, ... over the rows that agree in doc_id and text. The texts are shuffled once.
+    """
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"_id": F.col("row.doc_id"), "_code": text_code(F.col("row.text"))})
+    found = found.withColumnsRenamed({"doc_id": "_found_id", "code": "_found_code"})
+    rows = rows.join(found, (F.col("_code") == F.col("_found_code")) & F.col("_id").eqNullSafe(F.col("_found_id")), how)
+    copy = F.row_number().over(W.partitionBy("_code", "_id").orderBy(F.lit(0)))
+    return rows.withColumn("copy", copy).drop("_id", "_code", "_found_id", "_found_code")
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on ``key``, which is unique in ``right`` and may be hot in ``left``.
 
@@ -98,7 +137,3 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

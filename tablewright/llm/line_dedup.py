@@ -22,11 +22,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, matched, text_code
 
 #: Words of the shortest run that is deleted.
 WORDS = 50
@@ -115,10 +115,6 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "a", "b"])
 
 
-def _code(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, code, runs, copies) of each distinct pair of doc_id and text; ``code`` is the text's hash.
 
@@ -126,7 +122,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ``copies`` is how many rows the pair has.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", _code(F.col("text")).alias("code"), "text").mapInArrow(_lines, f"doc_id {kind}, code long, hashes array<long>, counts array<int>")
+    lines = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text").mapInArrow(_lines, f"doc_id {kind}, code long, hashes array<long>, counts array<int>")
     lines = lines.groupBy("doc_id", "code").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies"))
     # numbered in the order of documents: the ids rise with the sorted partitions
     lines = cut(cut(lines.orderBy(F.col("doc_id").asc_nulls_last(), "code")).withColumn("place", F.monotonically_increasing_id()))
@@ -158,11 +154,7 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     has no lines and stays null. A document whose lines are all deleted keeps its row, with an
     empty text. An empty table gives an empty result.
     """
-    found = repeated_runs(docs, words).select(F.col("doc_id").alias("_d"), F.col("code").alias("_c"), "copies", "total", "runs")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).withColumns({"_id": F.col("row.doc_id"), "_code": _code(F.col("row.text"))})
-    rows = rows.join(found, (F.col("_code") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_d")))
-    copy = F.row_number().over(W.partitionBy("_code", "_id").orderBy(F.lit(0)))
-    rows = rows.withColumn("further", (copy > 1) & (F.col("total") >= words))
+    rows = matched(docs, repeated_runs(docs, words)).withColumn("further", (F.col("copy") > 1) & (F.col("total") >= words))
     lines = F.split(F.col("row.text"), "\n")
     keep = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i < r["b"])))
     text = F.when(F.col("further"), F.lit("")).when(F.col("runs").isNotNull(), F.array_join(keep, "\n")).otherwise(F.col("row.text"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, salted_join
+from .common import components, cut, matched, salted_join, text_code
 
 #: Fingerprints in a tile, about.
 TILE = 65_536
@@ -59,8 +59,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], ["doc_id", "code", "fp"])
 
 
 class _Tiles:
@@ -158,6 +158,23 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return joined.repartition(n).mapInArrow(lambda batches: _edges(batches, radius), "u long, v long")
 
 
+def _grouped(docs: DataFrame, words: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, code, fp) of each row, and (fp, root) of each distinct fingerprint: its component."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text")
+    fps = cut(texts.mapInArrow(lambda batches: _fingerprints(batches, words), f"doc_id {kind}, code long, fp long"))
+    distinct = cut(fps.select("fp").distinct())
+    member = components(links(distinct, radius, tile)).withColumnRenamed("node", "fp")
+    return fps, cut(distinct.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def _least(fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, least) with the least doc_id, null last, and its text's code, in each component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "code"))
+    by_fp = fps.groupBy("fp").agg(first.alias("least"))
+    return by_fp.join(roots, "fp").groupBy("root").agg(F.min("least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, ...): doc_id, fingerprint, component_id.
 
@@ -168,11 +185,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
     gets the component of its fingerprint, null if no member has a doc_id. Repeated rows stay.
     An empty table gives an empty result.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    fps = cut(docs.select("doc_id", "text").mapInArrow(lambda batches: _fingerprints(batches, words), f"doc_id {kind}, fp long"))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(links(distinct, radius, tile)).withColumnRenamed("node", "fp")
-    grouped = cut(distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(salted_join(grouped.select("fp", "root"), named, "root").select("fp", "component_id"))
+    fps, roots = _grouped(docs, words, radius, tile)
+    named = _least(fps, roots).select("root", F.col("least.doc_id").alias("component_id"))
+    classes = cut(salted_join(roots, named, "root").select("fp", "component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs``, with their columns, that are the first of their component.
+
+    The first is the one with the smallest doc_id, null last; ties go to the smaller hash of the
+    text, and of rows that agree in both, one stays. Otherwise as ``near_duplicates``.
+    """
+    fps, roots = _grouped(docs, words, radius, tile)
+    stay = cut(_least(fps, roots).select("least.doc_id", "least.code"))
+    return matched(docs, stay).where("copy = 1").select("row.*")

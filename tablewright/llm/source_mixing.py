@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_join
+from .common import cut, matched, small_join, text_code
 
 #: Weights by the source's place, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -56,12 +56,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     return rows.select("source", "source_size", F.coalesce(F.least(limit, level * F.col("w")), limit).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size, the number of words in the text, and _order, its place in the shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # words are what is left when each is one character and the spaces are gone
-    n = F.char_length(F.translate(F.regexp_replace(text, WORD, "w"), SPACES, "")).cast("long")
-    return docs.withColumns({"_size": n, "_order": F.xxhash64("doc_id", text)})
+def words(text: Column) -> Column:
+    """Number of words in a text; 0 for null."""
+    # what is left when each word is one character and the spaces are gone
+    left = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w"), SPACES, "")
+    return F.char_length(left).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
@@ -74,7 +73,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     the same doc_id and text are interchangeable. An empty table gives an empty result. The shuffle
     depends on doc_id and text alone, so runs agree however the input is divided.
     """
-    rows = cut(sized(docs).select("doc_id", "source", F.col("_size").alias("size"), "_order").withColumn("_row", F.monotonically_increasing_id()))
+    return _mixed(docs, weights, budget).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with their columns, each as often as it is taken.
+
+    Documents without words take no room and are left out; otherwise as ``mix``.
+    """
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    taken = _mixed(docs, weights, budget).groupBy("doc_id", "code").agg(F.sort_array(F.collect_list(times), False).alias("times"))
+    rows = matched(docs, taken).withColumn("times", F.element_at("times", F.col("copy"))).where("times > 0")
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], budget: float) -> DataFrame:
+    code = text_code(F.col("text"))
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), code.alias("code"), F.xxhash64("doc_id", code).alias("_order"))
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     # one row for each source; the hash groups null with null
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget)
     goals = cut(goals.select(F.xxhash64("source").alias("_s"), "source_size", "target", F.sum("target").over(W.partitionBy()).alias("total")))
@@ -104,4 +120,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     edge = merged.join(F.broadcast(border), "part").withColumn("run", run).where("start + run <= total").select("_row", "size")
     taken = inside.unionByName(edge).groupBy("_row").agg(F.sum("size").alias("taken"))
     out = small_join(rows.withColumn("_s", F.xxhash64("source")).join(taken, "_row", "left"), goals, "_s")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "code", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, line_dedup, sharding, simhash_dedup, source_mixing, token_counts, toxicity
+from . import best_fit_packing, line_dedup, sharding, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
 from .common import table, tokenizer_path
 
 
@@ -16,6 +16,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -41,6 +45,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_topk_search": op3_topk_search,
     "op4_token_counts": op4_token_counts,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,

@@ -30,20 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in
     tests on one machine, a folder of our own is used.
     """
-    _ensure_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _ensure_folder(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the checkpoint folder and read again, and where it lies."""
     spark = df.sparkSession
-    _ensure_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
     return spark.read.parquet(path), path
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, line_dedup, sharding, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
+from . import best_fit_packing, document_fingerprints, line_dedup, secret_scan, sharding, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
 from .common import table, tokenizer_path
 
 
@@ -24,6 +24,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_topk_search": op3_topk_search,
     "op4_token_counts": op4_token_counts,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,

@@ -1 +1,6 @@
+"""Where tables come from: files by their suffix, or the catalog."""
 
+from .readers import FORMATS, LoadError, infer_format, load
+from .session import open_session
+
+__all__ = ["FORMATS", "LoadError", "infer_format", "load", "open_session"]

@@ -13,12 +13,12 @@ when skewed; it can do neither for a full outer join.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.logic import all_of
 from ..functions.rules import _BLANKS, _is_string
 from ..plans.spec import CompareSpec
 
@@ -41,7 +41,7 @@ def key_facts(left: DataFrame, right: DataFrame, spec: CompareSpec) -> tuple[boo
     for df in (left, right):
         keys = df.select(*[_key(df, k, spec).alias(f"k{n}") for n, k in enumerate(spec.keys)])
         names = keys.columns
-        has_null = reduce(Column.__or__, [F.col(n).isNull() for n in names])
+        has_null = ~all_of([F.col(n).isNotNull() for n in names])
         counted = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
         sides.append(counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.bool_or(has_null), F.lit(False)).alias("nulls")))
     rows = sides[0].union(sides[1]).collect()
@@ -98,4 +98,4 @@ def align(left: DataFrame, right: DataFrame, spec: CompareSpec, duplicates: bool
     same = [F.col(f"lk{n}").eqNullSafe(F.col(f"rk{n}")) if nulls else F.col(f"lk{n}") == F.col(f"rk{n}") for n in range(len(spec.keys))]
     if duplicates:
         same.append(F.col("ln") == F.col("rn"))
-    return Aligned(a, b, reduce(Column.__and__, same), spec.keys, common, left_columns, right_columns)
+    return Aligned(a, b, all_of(same), spec.keys, common, left_columns, right_columns)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 
+from ..functions.logic import all_of
 from ..functions.rules import max_diff_expr, null_diff_expr
 from .align import Aligned
 
@@ -20,7 +20,7 @@ def stats_row(aligned: Aligned, matches: Sequence[Column]) -> Row:
     and shuffled; counts are combined before the shuffle of the aggregate.
     """
     both = F.col("in_left") & F.col("in_right")
-    every = reduce(Column.__and__, matches, F.lit(True))
+    every = all_of(matches)
     left_types, right_types = (dict((f.name, f.dataType) for f in df.schema) for df in (aligned.left, aligned.right))
     counts = [
         F.count_if(both).alias("common"),

@@ -10,12 +10,13 @@ import logging
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.logic import all_of
 from ..functions.rules import CompareContext, Rule, match_expr
 from ..operators.align import Aligned, align, key_facts
 from ..operators.stats import stats_row
@@ -258,7 +259,7 @@ class Comparison:
             names = [(n, c) for n, c in names if c in unequal]
         if not names:
             return self._unmatched_keys()
-        every = reduce(Column.__and__, [self._matches[n] for n, _ in names])
+        every = all_of([self._matches[n] for n, _ in names])
         pairs = [x for n, c in names for x in self._pair(n, c)]
         return self._masked(self._both().where(~every).select(*self._left_keys(), *pairs))
 

@@ -1,0 +1,107 @@
+"""Each registered query over its whole table, against brute force."""
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import pyarrow.parquet as pq
+import pytest
+from tablewright.llm import registry
+from tablewright.llm.common import tokenizer_path
+from tests.llm import test_best_fit_packing, test_document_fingerprints, test_line_dedup, test_secret_scan, test_simhash_dedup, test_source_mixing, test_token_counts, test_topk_search
+
+SF = "/root/testdata/sf0.001"
+
+
+def run(spark, name):
+    return registry.QUERIES[name](spark, SF).collect()
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+
+
+def test_op1(spark, docs):
+    assert sorted((tuple(r)[:3] for r in run(spark, "op1_simhash_dedup")), key=str) == test_simhash_dedup.brute(docs)
+
+
+def test_op2(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    n = test_best_fit_packing.check(run(spark, "op2_best_fit_packing"), docs, tokenizer)
+    assert n <= -(-sum(len(tokenizer.encode(t or "").ids) + 1 for _, t in docs) // 2048) + 1
+
+
+def test_op3(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in pq.read_table(f"{SF}/embeddings.parquet").to_pylist()]
+    assert sorted(map(tuple, run(spark, "op3_topk_search")), key=str) == test_topk_search.brute(rows)
+
+
+def test_op4(spark, docs):
+    from tablewright.llm.token_counts import vocabulary
+
+    tokens = set(vocabulary(tokenizer_path("byte_bpe_50k.tiktoken")))
+    want = [(d, len((t or "").encode().split()), sum(test_token_counts.greedy(b" " + w, tokens) for w in (t or "").encode().split())) for d, t in docs]
+    assert sorted(map(tuple, run(spark, "op4_token_counts"))) == sorted(want)
+
+
+def test_op5(spark, docs):
+    got = sorted(((*r[:5], round(r[5], 9), round(r[6], 9), r[7]) for r in run(spark, "op5_document_fingerprints")), key=str)
+    assert got == test_document_fingerprints.brute(docs)
+    nearer = [r for r in got if r[1] > 200]
+    assert sum(r[5] > r[6] for r in nearer) > 0.9 * len(nearer)
+
+
+def test_op6(spark, docs):
+    texts = dict(docs)
+    for r in run(spark, "op6_secret_scan"):
+        found = test_secret_scan.brute(texts.pop(r.doc_id))
+        told = test_secret_scan.told(found)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(f[2] == k for f in found) for k in test_secret_scan.PATTERNS)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert not set(filter(None, told.split(","))) - set(r.spans.split(","))
+    assert not texts
+
+
+def test_op7(spark, docs):
+    got, slots = run(spark, "op7_sharding"), defaultdict(list)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((d, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in docs)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.law == "key" and r.grown_shard in (r.shard, 40)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(40))
+
+
+def test_op8_held_out(spark, docs):
+    from tablewright.llm import toxicity
+
+    table = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/../sf0.1/labels.parquet")
+    model = toxicity.train(table, labels.where("doc_id % 4 <> 0"))
+    found = {r.doc_id: r.toxic for r in toxicity.score(table, model).collect()}
+    held = [(found[r.doc_id], r.toxic == 1) for r in labels.where("doc_id % 4 = 0").collect()]
+    clean, bad = [f for f, t in held if not t], [f for f, t in held if t]
+    assert sum(clean) <= 0.01 * len(clean) and sum(bad) >= 0.8 * len(bad)
+    assert sorted(r.doc_id for r in run(spark, "op8_toxicity")) == sorted(d for d, _ in docs)
+
+
+def test_op9(spark, docs):
+    got = sorted(((r.doc_id, r.text) for r in run(spark, "op9_line_dedup")), key=str)
+    assert got == sorted(((d, n) for d, _, n in test_line_dedup.brute(docs, 50)), key=str)
+
+
+def test_op10(spark):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    source, sizes, taken = {r["doc_id"]: r["source"] for r in rows}, defaultdict(int), defaultdict(int)
+    most = defaultdict(int)
+    for r in rows:
+        n = test_source_mixing.words(r["text"])
+        sizes[r["source"]] += n
+        most[r["source"]] = max(most[r["source"]], n)
+    want = test_source_mixing.brute_targets(sizes)
+    for r in run(spark, "op10_source_mixing"):
+        taken[source[r.doc_id]] += r.taken
+        assert r.target == pytest.approx(want[source[r.doc_id]]) and r.source_size == sizes[source[r.doc_id]] and r.taken <= 2 * r.size
+    assert all(abs(taken[s] - want[s]) <= 2 * most[s] for s in want)

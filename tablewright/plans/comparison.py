@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logic import all_of
 from ..functions.rules import CompareContext, Rule, match_expr
-from ..operators.align import Aligned, align, key_facts
+from ..operators.align import Aligned, KeyFacts, align, key_facts
 from ..operators.stats import stats_row
 from .spec import CompareSpec, Tolerance, check_keys, key_list, prepared, tolerances
 
@@ -102,19 +102,19 @@ class Comparison:
     # ------------------------------------------------------------ plan
 
     @cached_property
-    def _key_facts(self) -> tuple[bool, bool]:
+    def _key_facts(self) -> KeyFacts:
         if self.spec.unique_keys:
-            return False, True
+            return KeyFacts()
         return key_facts(self.left, self.right, self.spec)
 
     @property
     def has_duplicates(self) -> bool:
         """Whether a key occurs twice on a side."""
-        return self._key_facts[0]
+        return self._key_facts.most > 1
 
     @cached_property
     def _aligned(self) -> Aligned:
-        return align(self.left, self.right, self.spec, *self._key_facts)
+        return align(self.left, self.right, self.spec, self._key_facts)
 
     def _context(self, column: str) -> CompareContext:
         abs_tol, rel_tol = self.spec.tolerance(column)

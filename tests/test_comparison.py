@@ -3,7 +3,7 @@ import logging
 import pytest
 from pyspark.sql import functions as F
 from tablewright import compare
-from tablewright.operators import with_position
+from tablewright.operators import align, with_position
 from tablewright.streaming import reconcile
 
 
@@ -70,6 +70,21 @@ def test_duplicates_pair_in_order(spark):
     assert not compare(left.coalesce(1), right.coalesce(1), "k").matches()
 
 
+@pytest.mark.parametrize("order", [["seq"], []])
+def test_hot_keys_are_numbered_apart(spark, order):
+    schema = "k string, j int, seq int, v int"
+    rows = [("hot", None, n, n) for n in range(300)] + [(None, 1, n, n) for n in range(200)] + [(f"k{n % 40}", n % 3, n, n) for n in range(200)]
+    left, right = frame(spark, rows, schema).repartition(7, "v"), frame(spark, [r for r in rows if r[2] != 5], schema).repartition(5, "v")
+    c = compare(left, right, ["k", "j"], order_by=order)
+    plain, apart = align(c.left, c.right, c.spec, c._key_facts), align(c.left, c.right, c.spec, c._key_facts, hot_rows=50)
+    assert c._key_facts.most == 300
+    numbered = lambda a: sorted((str(r[:2]), r.ln) for r in a.left.select("lk0", "lk1", "ln").collect())
+    assert numbered(plain) == numbered(apart)
+    assert plain.left_only().count() == apart.left_only().count() == 3 and apart.both().count() == 697
+    if order:
+        assert sorted(plain.left.select("l0", "ln").collect()) == sorted(apart.left.select("l0", "ln").collect())
+
+
 def test_null_and_trimmed_keys(spark):
     left = frame(spark, [(None, 1), (None, 2), (" hi ", 3), ("hi", 4)], "a string, b int")
     right = frame(spark, [(None, 1), (None, 2), ("hi", 3), ("hi", 4)], "a string, b int")

@@ -41,21 +41,24 @@ ROUNDS = 3
 POPULATION, CROSSOVERS = 4, 6
 #: A bin with fewer free places than this is well-filled: 1 part in so many.
 WELL = 128
-#: Words, and the letter runs in them, whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Pre-tokens after which a worker starts a new generation; it remembers this one and the last.
+REMEMBERED = 250_000
 #: Bytes of text that are tokenized together.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Texts of ASCII and the letters of Latin-1: composed as they are, and lower case is one to one.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: The tokenizer's pre-tokens in such a text in lower case.
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\ra-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, equal to the tokenizer's for the whole text.
+    """Token ids of texts, equal to the tokenizer's for the whole text.
 
-    The tokenizer drops white space, and nothing it does reaches over it, so the ids of a text are
-    those of its words. Nor does anything reach from a run of letters to the punctuation behind
-    it: each is a pre-token, whose last id is one that ends a word. So runs of letters that aren't
-    known yet are tokenized together, and the ids divided at those.
+    Nothing in the tokenizer reaches over white space, so the ids of a text are those of its words,
+    and each distinct word of many texts is looked up once. In plain words, which most are, a
+    pattern finds the pre-tokens; those that aren't known yet go to the tokenizer all at once, and
+    their ids are divided at those that end a word, as each pre-token's last one does.
     """
 
     def __init__(self, source: str) -> None:
@@ -63,41 +66,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(source)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.special = [t for t in self.tokenizer.get_vocab() if t not in vocabulary]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        #: Known ids of pre-tokens, this generation and the last.
+        self.known: list[dict[str, bytes]] = [{}, {}]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        odd, plain = [], []
-        for word in new:
-            text = word.decode("utf-8", "surrogatepass")
-            if match := _PLAIN.fullmatch(text):
-                plain.append((word, match[1].lower(), match[2]))
+    def _parts(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """The ids of these pre-tokens, and others."""
+        if len(self.known[0]) > REMEMBERED:
+            self.known = [{}, self.known[0]]
+        known, before = self.known
+        new = []
+        for part in set(parts):
+            if part not in known:
+                if part in before:
+                    known[part] = before[part]
+                else:
+                    new.append(part)
+        if new:
+            (ids,) = self._ids([" ".join(new)])
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) == len(new):
+                data = ids.tobytes()
+                known.update(zip(new, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
             else:
-                odd.append((word, text))
-        if len(self.runs) > REMEMBERED:
-            self.runs = {"": b""}
-        if runs := [r for r in {x for p in plain for x in p[1:]} if r not in self.runs]:
-            (ids,) = self._ids([" ".join(runs)])
-            parts = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            if len(parts) != len(runs):
-                parts = self._ids(runs)
-            self.runs.update((r, p.tobytes()) for r, p in zip(runs, parts, strict=True))
-        self.words.update((word, self.runs[a] + self.runs[b]) for word, a, b in plain)
-        self.words.update((word, ids.tobytes()) for (word, _), ids in zip(odd, self._ids([t for _, t in odd]), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        distinct = set(chain.from_iterable(texts))
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        self._learn([w for w in distinct if w not in self.words])
-        ids = self.words.__getitem__
-        return (b"".join(map(ids, words)) for words in texts)
+                known.update(zip(new, (i.tobytes() for i in self._ids(new)), strict=True))
+        return known
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian bytes."""
+        joined = " ".join(words)
+        if _PLAIN.fullmatch(joined) and not any(t in joined for t in self.special):
+            parts = list(map(_PARTS.findall, joined.lower().split(" "))) if words else []
+            known = self._parts(chain.from_iterable(parts))
+            return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
+        plain = [_PLAIN.fullmatch(w) is not None and not any(t in w for t in self.special) for w in words]
+        ids = iter(self.words([w for w, p in zip(words, plain, strict=True) if p]))
+        odd = iter(self._ids([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(ids) if p else next(odd).tobytes() for p in plain]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        codes = split.flatten().dictionary_encode()
+        each = self.words(codes.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(each), "<u4")
+        length = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts = np.cumsum(length) - length
+        index, offsets = codes.indices.to_numpy(), np.asarray(split.offsets)
+        for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False):
+            words = index[a:b]
+            n = length[words]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            yield flat[np.repeat(starts[words] - ends + n, n) + np.arange(total)]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -121,8 +146,8 @@ def _pieces(batches: Iterable[pa.RecordBatch], source: str, capacity: int, end:
             (rows,) = np.nonzero(group == g)
             part = batch.slice(int(rows[0]), len(rows))
             out: list[tuple[int, int, int, int, int]] = []
-            for k, ids in enumerate(encode(part.column(1).to_pylist())):
-                ids += end
+            for k, found in enumerate(encode(part.column(1))):
+                ids = found.tobytes() + end
                 n = len(ids) // 4
                 out += [(k, i, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for i, s in enumerate(range(0, n, capacity))]
             k, *columns = zip(*out, strict=True)

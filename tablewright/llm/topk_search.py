@@ -32,7 +32,7 @@ from .common import cut
 #: Vectors in a block of data or queries, at most, and of data if there are few.
 BLOCK, SMALL_BLOCK = 65_536, 2048
 #: Rows of a leaf of queries and of data, and children of a node.
-QUERY_LEAF, LEAF, FAN = 12, 128, 16
+QUERY_LEAF, LEAF, FAN = 12, 256, 16
 
 
 @dataclass

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, cut
+from .common import checkpoint_folder, cut, removed
 
 
 @dataclass(frozen=True)
@@ -141,11 +141,14 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rul
     """
     spark = docs.sparkSession
     rules = (*BASE, *rules)
+    kept = ledger is not None
     ledger = ledger or f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4()}"
     found = scan(docs, ledger, rules)
     base = F.filter("findings", lambda f: f["rank"] <= len(BASE))
     counts = [F.size(F.filter("findings", _is(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
     digests = cut(found.select("blob", *counts, F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("findings")).alias("spans")))
+    if not kept:
+        removed(spark, ledger)
     # both sides are plain tables, so that a blob of very many paths can be split
     paths = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     return paths.join(digests, "blob").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -80,6 +80,7 @@ OPTIONS = [
     Option("--right", "file, URI or catalog table of the right side", parse={"required": True}),
     Option("--on", "key columns, separated by commas; may be given again", parse={"type": _names, "action": "extend", "default": []}),
     Option("--on-index", "refused: rows of a Spark table have no position", parse={"action": "store_true"}),
+    Option("--backend", "there is one", parse={"choices": ["spark"], "default": "spark"}),
     Option("--input-format", "format of both files; by default from the suffix", parse={"choices": ["csv", "parquet", "json"]}),
     Option("--csv-delimiter", r"one character, or \t", parse={"type": _delimiter, "default": ","}),
     Option("--abs-tol", "absolute tolerance: N, or COLUMN=N, given again for others", parse={"type": _tolerance, "action": "append", "default": []}),

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
 
-#: Copies of the small side in a salted join; a hot key is spread over as many tasks.
-SALTS = 8
+#: Rows of a key beyond which a join doesn't gather them.
+HOT_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,78 +63,91 @@ def text_code(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def matched(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+def id_columns(doc_id: Column, kind: DataType) -> tuple[Column, Column]:
+    """Whether an id is null, and the id with nulls replaced. Joins and windows on these two share a
+    partitioning, which those on a null-safe comparison don't."""
+    if isinstance(kind, NumericType):
+        return doc_id.isNull(), F.coalesce(doc_id, F.lit(0).cast(kind))
+    return doc_id.isNull(), F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
+def matched(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Join ``docs`` to ``found``, a row for each pair of doc_id and code (a hash of the text).
 
     The result has all of a document as the struct ``row``, the other columns of ``found``, and
     ``copy``: 1, 2, ... over the rows that agree in doc_id and text. The texts are shuffled once.
     """
+    kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    rows = rows.withColumns({"_id": F.col("row.doc_id"), "_code": text_code(F.col("row.text"))})
-    found = found.withColumnsRenamed({"doc_id": "_found_id", "code": "_found_code"})
-    rows = rows.join(found, (F.col("_code") == F.col("_found_code")) & F.col("_id").eqNullSafe(F.col("_found_id")), how)
-    copy = F.row_number().over(W.partitionBy("_code", "_id").orderBy(F.lit(0)))
-    return rows.withColumn("copy", copy).drop("_id", "_code", "_found_id", "_found_code")
+    for_docs, for_found = id_columns(F.col("row.doc_id"), kind), id_columns(F.col("doc_id"), kind)
+    rows = rows.withColumns({"_no_id": for_docs[0], "_id": for_docs[1], "_code": text_code(F.col("row.text"))})
+    found = found.withColumns({"_no_id": for_found[0], "_id": for_found[1], "_code": F.col("code")}).drop("doc_id", "code")
+    keys = ["_code", "_id", "_no_id"]
+    copy = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
+    return rows.join(found, keys).withColumn("copy", copy).drop(*keys)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on ``key``, which is unique in ``right`` and may be hot in ``left``.
+def skewed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right`` and may be hot in ``left``.
 
-    Rows of a hot key go to ``SALTS`` tasks; ``right`` is sent that many times.
+    Keys with more than ``HOT_ROWS`` rows are joined by broadcast, so that their rows stay where they
+    are; there are at most one for each ``HOT_ROWS`` rows of ``left``.
     """
-    others = [c for c in left.columns if c != key]
-    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0)
-    copies = right.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    return left.withColumn("_salt", salt.cast("long")).join(copies, [key, "_salt"], how).drop("_salt")
+    hot = F.broadcast(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(left.join(few, key))
 
 
 #: Rows of a side that is sent to every executor.
 BROADCAST_ROWS = 100_000
 
 
-def small_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join with a side that is usually small and is unique in ``key``.
+def small_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join with a side that is usually small and is unique in ``key``.
 
     ``right`` must be cheap to count, such as a table from ``cut``. It is broadcast if it has at
-    most ``BROADCAST_ROWS`` rows; else the join is salted.
+    most ``BROADCAST_ROWS`` rows.
     """
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), key, how)
-    return salted_join(left, right, key, how)
+        return left.join(F.broadcast(right), key)
+    return skewed_join(left, right, key)
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    """Row count and an order-free hash of all rows."""
-    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _facts(edges: DataFrame) -> tuple[tuple[int, int | None], int]:
+    """What tells these edges from others (their number and an order-free hash), and the highest degree."""
+    h = F.xxhash64("u", "v").cast("decimal(38,0)")
+    ends = edges.select(F.col("u").alias("node"), h.alias("h")).union(edges.select(F.col("v").alias("node"), F.lit(None).cast("decimal(38,0)").alias("h")))
+    nodes = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
+    row = nodes.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return (row[0] or 0, row[1]), row[2] or 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u long, v long) as (node, root), root the smallest node.
 
     Alternates large-star and small-star steps until the edges stay the same. Each step takes a
-    minimum per node (combined before the shuffle) and a salted join, so a hub is never gathered
-    in one task, and the driver only sees a count and a hash. Nodes without an edge to another
-    node don't appear.
+    minimum per node, combined before the shuffle, and joins it back; where a node has so many
+    edges that this would gather them, that node's minimum is broadcast instead. The driver only
+    sees counts and a hash. Nodes without an edge to another node don't appear.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, most: int) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return salted_join(pairs, low, "u")
+        return pairs.join(low, "u") if most <= HOT_ROWS else skewed_join(pairs, low, "u")
 
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)
-    seen = _fingerprint(edges)
+    seen, most = _facts(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        # u > v holds for every row of large: v is the least of u's side
-        small = star(large)
+        large = star(both, most).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # u > v holds for every row of large, and no node has more rows there than edges
+        small = star(large, most)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v"))
         )
         edges = cut(small.distinct())
-        now = _fingerprint(edges)
+        now, most = _facts(edges)
         if now == seen:
             break
         seen = now

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_columns
 
 #: Terms whose votes share a count; less than 2 ** 15, as a long has a sign.
 TERMS = 32_000
@@ -125,9 +125,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     names = ["no_id", "id", "n_chars", "code"]
-    kind = docs.schema["doc_id"].dataType
-    zero = F.lit(0).cast(kind) if kind.simpleString() != "string" else F.lit("")
-    keys = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", zero).alias("id"), F.char_length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("code")]
+    no_id, known_id = id_columns(F.col("doc_id"), docs.schema["doc_id"].dataType)
+    keys = [no_id.alias("no_id"), known_id.alias("id"), F.char_length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("code")]
     # rows that agree meet before the shuffle; the same exchange serves both joins below
     grouped = docs.select(*keys, text.alias("text")).groupBy(*names).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).where("copies > 0")
     follow = cut(_neighbours(docs.select(*keys).distinct()))
@@ -157,7 +156,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited, sha = (F.when(like, F.col(f"{c}2")).otherwise(F.col(f"{c}1")) for c in ("fp", "sha"))
     following = F.when(like, F.col("fp")).otherwise(F.col("next_fp"))
     return found.select(
-        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
+        F.when(~F.col("no_id"), F.col("id")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "n_chars",
         sha.alias("edited_sha256"),
         _hex(F.col("fp")).alias("fingerprint"),

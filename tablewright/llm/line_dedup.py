@@ -125,7 +125,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lines = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text").mapInArrow(_lines, f"doc_id {kind}, code long, hashes array<long>, counts array<int>")
     lines = lines.groupBy("doc_id", "code").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies"))
     # numbered in the order of documents: the ids rise with the sorted partitions
-    lines = cut(cut(lines.orderBy(F.col("doc_id").asc_nulls_last(), "code")).withColumn("place", F.monotonically_increasing_id()))
+    lines = cut(lines.orderBy(F.col("doc_id").asc_nulls_last(), "code")).withColumn("place", F.monotonically_increasing_id())
     found = cut(lines.select("place", "hashes", "counts").mapInArrow(lambda batches: _windows(batches, words), "low long, whole long, place long, start long"))
     firsts = found.groupBy("low", "whole").agg(F.min(F.struct("place", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = cut(firsts.where("n > 1").select("low", "whole", F.col("first.place").alias("first_place"), F.col("first.start").alias("first_start")))

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from tablewright.llm import common
 from tablewright.llm import simhash_dedup as S
 from tablewright.llm.common import components
 
@@ -70,7 +72,9 @@ def test_forest_spans_all_links():
     assert classes(S.forest(values, values, 4, True)) == classes(every)
 
 
-def test_components_of_chain_and_star(spark):
+@pytest.mark.parametrize("hot_rows", [10_000, 5])
+def test_components_of_chain_and_star(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}

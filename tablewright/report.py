@@ -15,6 +15,10 @@ if TYPE_CHECKING:
     from .plans.comparison import Comparison
 
 
+# fixed values: the members' names are the keys of the JSON report, and the titles and labels of
+# _text are those of the text report; both are formats that others read
+
+
 @dataclass(frozen=True)
 class ColumnSummary:
     common_columns: int

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 CAPACITY = 2048
 CELL = 8192
@@ -41,10 +41,12 @@ ROUNDS = 3
 POPULATION, CROSSOVERS = 4, 6
 #: A bin with fewer free places than this is well-filled: 1 part in so many.
 WELL = 128
-#: Pre-tokens after which a worker starts a new generation; it remembers this one and the last.
-REMEMBERED = 250_000
+#: Words, and pre-tokens, whose ids a worker remembers.
+REMEMBERED = 1_000_000
+#: Pre-tokens that go to the tokenizer at once.
+AT_ONCE = 20_000
 #: Bytes of text that are tokenized together.
-TOGETHER = 8 << 20
+TOGETHER = 16 << 20
 
 #: Texts of ASCII and the letters of Latin-1: composed as they are, and lower case is one to one.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
@@ -52,6 +54,37 @@ _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\ra-zß-öø-ÿ0-9]+")
 
 
+class Store:
+    """Token ids by string, in arrays; at most ``REMEMBERED`` strings, and then it starts anew."""
+
+    def __init__(self) -> None:
+        self.keys = pa.array([], pa.large_string())
+        self.ids, self.length, self.starts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, keys: pa.Array, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The places of distinct ``keys``; ``learn`` gives the ids of new ones in a row, and how many each has."""
+        at = pc.index_in(keys, value_set=self.keys)
+        if at.null_count and len(self.keys) + at.null_count > REMEMBERED:
+            self.__init__()  # as new
+            at = pc.index_in(keys, value_set=self.keys)
+        places = at.fill_null(0).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = pc.is_null(at)
+            added = keys.filter(new)
+            ids, length = learn(added.to_pylist())
+            places[new.to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(added))
+            self.keys = pa.concat_arrays([self.keys, added])
+            self.ids, self.length = np.concatenate([self.ids, ids]), np.concatenate([self.length, length])
+            self.starts = np.cumsum(self.length) - self.length
+        return places
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at ``places`` in a row, and where each ends."""
+        n = self.length[places]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.starts[places] - ends + n, n) + np.arange(n.sum())], ends
+
+
 class Encoder:
     """Token ids of texts, equal to the tokenizer's for the whole text.
 
@@ -69,60 +102,45 @@ class Encoder:
         self.special = [t for t in self.tokenizer.get_vocab() if t not in vocabulary]
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        #: Known ids of pre-tokens, this generation and the last.
-        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.words, self.parts = Store(), Store()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: Iterable[str]) -> dict[str, bytes]:
-        """The ids of these pre-tokens, and others."""
-        if len(self.known[0]) > REMEMBERED:
-            self.known = [{}, self.known[0]]
-        known, before = self.known
-        new = []
-        for part in set(parts):
-            if part not in known:
-                if part in before:
-                    known[part] = before[part]
-                else:
-                    new.append(part)
-        if new:
-            (ids,) = self._ids([" ".join(new)])
-            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(stops) == len(new):
-                data = ids.tobytes()
-                known.update(zip(new, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
-            else:
-                known.update(zip(new, (i.tobytes() for i in self._ids(new)), strict=True))
-        return known
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian bytes."""
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found, lengths = [], []
+        for at in range(0, len(parts), AT_ONCE):
+            some = parts[at : at + AT_ONCE]
+            each = self._ids([" ".join(some)])
+            length = np.diff(np.flatnonzero(self.ends[each[0]]), prepend=-1)
+            if len(length) != len(some):
+                each = self._ids(some)
+                length = np.array([len(x) for x in each])
+            found += each
+            lengths.append(length)
+        return np.concatenate(found), np.concatenate(lengths)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = " ".join(words)
         if _PLAIN.fullmatch(joined) and not any(t in joined for t in self.special):
-            parts = list(map(_PARTS.findall, joined.lower().split(" "))) if words else []
-            known = self._parts(chain.from_iterable(parts))
-            return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
-        plain = [_PLAIN.fullmatch(w) is not None and not any(t in w for t in self.special) for w in words]
-        ids = iter(self.words([w for w, p in zip(words, plain, strict=True) if p]))
-        odd = iter(self._ids([w for w, p in zip(words, plain, strict=True) if not p]))
-        return [next(ids) if p else next(odd).tobytes() for p in plain]
+            parts = list(map(_PARTS.findall, joined.lower().split(" ")))
+            each = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+            places = self.parts.places(each.dictionary, self._parts)
+            ids, ends = self.parts.gather(places[each.indices.to_numpy()])
+            count = np.fromiter(map(len, parts), np.int64, len(parts))
+            return ids, np.diff(np.concatenate([[0], ends])[np.cumsum(count)], prepend=0)
+        each = [self._words([w])[0] if _PLAIN.fullmatch(w) and not any(t in w for t in self.special) else None for w in words]
+        odd = iter(self._ids([w for w, x in zip(words, each, strict=True) if x is None]))
+        each = [next(odd) if x is None else x for x in each]
+        return np.concatenate(each), np.array([len(x) for x in each])
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         codes = split.flatten().dictionary_encode()
-        each = self.words(codes.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(each), "<u4")
-        length = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        starts = np.cumsum(length) - length
+        places = self.words.places(codes.dictionary, self._words)
         index, offsets = codes.indices.to_numpy(), np.asarray(split.offsets)
         for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0], strict=False):
-            words = index[a:b]
-            n = length[words]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield flat[np.repeat(starts[words] - ends + n, n) + np.arange(total)]
+            yield self.words.gather(places[index[a:b]])[0]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -160,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     source = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     kind, last = docs.schema["doc_id"].dataType.simpleString(), np.array([end], "<u4").tobytes()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _pieces(batches, source.value, capacity, last), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(_pieces(batches, source.value, capacity, last)), schema)
 
 
 # ---------------------------------------------------------------- packing one cell

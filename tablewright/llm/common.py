@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,14 @@ from pyspark.sql.types import DataType, NumericType
 HOT_ROWS = 10_000
 
 
+def lean(results: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """These batches; Arrow gives what it no longer uses back to the system after each. A worker is
+    kept for later tasks, and would keep that memory too."""
+    for batch in results:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, matched, text_code
+from .common import cut, lean, matched, text_code
 
 #: Words of the shortest run that is deleted.
 WORDS = 50
@@ -122,7 +122,7 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ``copies`` is how many rows the pair has.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text").mapInArrow(_lines, f"doc_id {kind}, code long, hashes array<long>, counts array<int>")
+    lines = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text").mapInArrow(lambda batches: lean(_lines(batches)), f"doc_id {kind}, code long, hashes array<long>, counts array<int>")
     lines = lines.groupBy("doc_id", "code").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies"))
     # numbered in the order of documents: the ids rise with the sorted partitions
     lines = cut(lines.orderBy(F.col("doc_id").asc_nulls_last(), "code")).withColumn("place", F.monotonically_increasing_id())

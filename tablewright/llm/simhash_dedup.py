@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, matched, skewed_join, text_code
+from .common import components, cut, lean, matched, skewed_join, text_code
 
 #: Fingerprints in a tile, about.
 TILE = 65_536
@@ -162,7 +162,7 @@ def _grouped(docs: DataFrame, words: int, radius: int, tile: int) -> tuple[DataF
     """(doc_id, code, fp) of each row, and (fp, root) of each distinct fingerprint: its component."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text")
-    fps = cut(texts.mapInArrow(lambda batches: _fingerprints(batches, words), f"doc_id {kind}, code long, fp long"))
+    fps = cut(texts.mapInArrow(lambda batches: lean(_fingerprints(batches, words)), f"doc_id {kind}, code long, fp long"))
     distinct = cut(fps.select("fp").distinct())
     member = components(links(distinct, radius, tile)).withColumnRenamed("node", "fp")
     return fps, cut(distinct.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))

@@ -20,6 +20,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Words whose counts a worker remembers, and their bytes at most.
 REMEMBERED, SHORT = 400_000, 64
 
@@ -129,4 +131,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     tokens = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _counts(batches, tokens.value), f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(_counts(batches, tokens.value)), f"doc_id {kind}, n_words long, n_tokens long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 10_000
@@ -36,9 +36,11 @@ SAMPLE = 10_000
 FEATURES, EVIDENCE = 2000, 30.0
 PREFIXES = range(3, 8)
 GRADES = (3, 6)
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _RUNS = re.compile(r"[^\W\d_]+")
+#: The places of a word without features.
+_NONE = ()
 
 
 def _of(word: str) -> list[str]:
@@ -57,7 +59,7 @@ class Model:
     thresholds: np.ndarray
     #: Weights' places by feature, and by word as far as seen.
     places: dict[str, int] = field(default_factory=dict)
-    seen: dict[str, list[int]] = field(default_factory=dict)
+    seen: dict[str, list[int] | tuple] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.places = {f: k for k, f in enumerate(self.features)}
@@ -71,7 +73,7 @@ class Model:
         seen = self.seen
         for word, n in _words(text).items():
             if (at := seen.get(word)) is None:
-                at = [self.places[f] for f in _of(word) if f in self.places]
+                at = [self.places[f] for f in _of(word) if f in self.places] or _NONE
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen[word] = at
@@ -184,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _scores(batches, shared.value), f"doc_id {kind}, severity double, grade int, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(_scores(batches, shared.value)), f"doc_id {kind}, severity double, grade int, toxic boolean")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,4 +197,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not shared.value.at_least(t.as_py())[0] > 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda batches: lean(keep(batches)), docs.schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import best_fit_packing, line_dedup, simhash_dedup, source_mixing, toxicity
+from tablewright.llm import best_fit_packing, line_dedup, near_copies, source_mixing, toxicity
 from tablewright.llm.common import removed, stored, table, tokenizer_path
 
 
@@ -25,8 +25,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """One document of each group of near copies, by five-word shingles at similarity 0.8, stays."""
+    return near_copies.first_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lean, matched, skewed_join, text_code
+from .common import components, cut, lean, skewed_join, text_code
 
 #: Fingerprints in a tile, about.
 TILE = 65_536
@@ -76,6 +76,33 @@ class _Tiles:
         self.high = np.maximum.reduceat(lanes, self.starts, axis=0)
 
 
+def spanning(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels once the links from ``left`` to ``right`` have joined them, and the places of links that do so."""
+    place, picked = np.arange(len(left)), []
+    while True:
+        place = place[label[left[place]] != label[right[place]]]
+        if not len(place):
+            return label, np.array(picked, np.int64)
+        # one link for each pair of labels; the rest of them follow from it
+        pairs, first = np.unique(np.stack([label[left[place]], label[right[place]]], 1), axis=0, return_index=True)
+        parent: dict[int, int] = {}
+
+        def root(k: int, parent: dict[int, int] = parent) -> int:
+            while k in parent:
+                k = parent[k]
+            return k
+
+        for (p, q), k in zip(pairs.tolist(), first.tolist(), strict=True):
+            p, q = root(p), root(q)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                picked.append(int(place[k]))
+        new = np.arange(len(label))
+        for k in parent:
+            new[k] = root(k)
+        label = new[label]
+
+
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
     """Links between ``a`` and ``b`` within ``radius`` bits, as a spanning forest of all such links."""
     x = _Tiles(a)
@@ -94,29 +121,8 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
         rows = x.values[start : start + SMALL]
         found = np.flatnonzero(np.bitwise_count(rows[:, None] ^ y.values[columns][None, :]) <= radius)
         left, right = start + found // len(columns), columns[found % len(columns)] + shift
-        while True:
-            differ = label[left] != label[right]
-            left, right = left[differ], right[differ]
-            if not len(left):
-                break
-            # one link for each pair of labels; the rest of them follow from it
-            pairs, first = np.unique(np.stack([label[left], label[right]], 1), axis=0, return_index=True)
-            parent: dict[int, int] = {}
-
-            def root(k: int, parent: dict[int, int] = parent) -> int:
-                while k in parent:
-                    k = parent[k]
-                return k
-
-            for (p, q), k in zip(pairs.tolist(), first.tolist(), strict=True):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    out.append((int(x.values[left[k]]), int(y.values[right[k] - shift])))
-            new = np.arange(len(label))
-            for k in parent:
-                new[k] = root(k)
-            label = new[label]
+        label, picked = spanning(label, left, right)
+        out += zip(x.values[left[picked]].tolist(), y.values[right[picked] - shift].tolist(), strict=True)
     return out
 
 
@@ -168,7 +174,7 @@ def _grouped(docs: DataFrame, words: int, radius: int, tile: int) -> tuple[DataF
     return fps, cut(distinct.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
-def _least(fps: DataFrame, roots: DataFrame) -> DataFrame:
+def least_rows(fps: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, least) with the least doc_id, null last, and its text's code, in each component."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "code"))
     by_fp = fps.groupBy("fp").agg(first.alias("least"))
@@ -186,17 +192,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
     An empty table gives an empty result.
     """
     fps, roots = _grouped(docs, words, radius, tile)
-    named = _least(fps, roots).select("root", F.col("least.doc_id").alias("component_id"))
+    named = least_rows(fps, roots).select("root", F.col("least.doc_id").alias("component_id"))
     classes = cut(skewed_join(roots, named, "root").select("fp", "component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """The rows of ``docs``, with their columns, that are the first of their component.
-
-    The first is the one with the smallest doc_id, null last; ties go to the smaller hash of the
-    text, and of rows that agree in both, one stays. Otherwise as ``near_duplicates``.
-    """
-    fps, roots = _grouped(docs, words, radius, tile)
-    stay = cut(_least(fps, roots).select("least.doc_id", "least.code"))
-    return matched(docs, stay).where("copy = 1").select("row.*")

@@ -5,15 +5,17 @@ its grade is at least k is sigmoid(eta - threshold_k): all thresholds share the
 rise. The expected severity is the sum of these probabilities.
 
 Features are the words of a text and the beginnings of words (``PREFIXES`` letters), so that
-inflected and compound forms count; a feature's value is the logarithm of 1 plus its count. Those
-that go together with the label, by a likelihood-ratio test over the sample, take part.
+inflected and compound forms count; a feature's value is the logarithm of 1 plus its count. Of those
+that toxic texts of the sample use more, the best by likelihood ratio take part, however few rows
+have labels. The weaker a feature's ratio, the stronger its ridge penalty, so that those which go
+with the label by chance count little beside the others.
 
-Labels that only tell toxic from not are graded by how often such a text uses the features that
-the test found: ``GRADES`` are the counts from which grades 2, 3, ... are given.
+Labels that only tell toxic from not are graded by how often such a text uses the clear features,
+those with a ratio of ``CLEAR``: ``GRADES`` are the counts from which grades 2, 3, ... are given.
+A sample too small for clear features has grades 0 and 1 only.
 
 The model is fitted on a bounded sample of labelled rows, ``SAMPLE``, drawn by a hash of doc_id. The
-texts stay on the executors; the driver gets the features' counts above the test's bound, at most
-``FEATURES`` of them, and the sample's values for these.
+texts stay on the executors; the driver gets at most ``FEATURES`` features, and the sample's values for these.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from .common import cut, lean
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 10_000
-#: Features that take part, at most, and the least likelihood ratio (twice the logarithm) of one.
-FEATURES, EVIDENCE = 2000, 30.0
+#: Features that take part, at most.
+FEATURES = 2000
+#: Likelihood ratios (twice the logarithm): below WEAK the penalty rises with the third power; from CLEAR on, a feature grades.
+WEAK, CLEAR = 10.0, 30.0
 PREFIXES = range(3, 8)
 GRADES = (3, 6)
 REMEMBERED = 200_000
@@ -88,15 +92,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - eta, -50, 50)))
 
 
-def fit_ordinal(rows: list[tuple[dict[int, int], int]], n_features: int, ridge: float = 0.3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds for (counts by feature, grade), by Adam on the penalised likelihood."""
+def fit_ordinal(rows: list[tuple[dict[int, int], int]], n_features: int, ridge: float = 0.3, steps: int = 400, rate: float = 0.1, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds for (counts by feature, grade), by Adam on the penalised likelihood.
+
+    ``scale`` multiplies the features' values while fitting, which divides ``ridge`` by its square.
+    """
+    scale = np.ones(n_features) if scale is None else scale
     grades = np.array([g for _, g in rows])
     top = int(grades.max(initial=0))
     if not top or grades.min() > 0:
         return np.zeros(n_features), np.full(max(top, 1), 50.0 if not top else -50.0)
     row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
     col = np.array([k for x, _ in rows for k in x], int)
-    val = np.log1p(np.array([n for x, _ in rows for n in x.values()], float))
+    val = np.log1p(np.array([n for x, _ in rows for n in x.values()], float)) * scale[col]
     # thresholds: the first, then the logarithms of the steps between them
     p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(top - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -116,7 +124,7 @@ def fit_ordinal(rows: list[tuple[dict[int, int], int]], n_features: int, ridge:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     gaps = np.exp(np.clip(p[n_features + 1 :], -10, 5))
-    return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
+    return p[:n_features] * scale, p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
 
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n1, n0 = F.col("bad"), F.col("good")
     share = (n1 + n0) / F.lit(float(max(bad + good, 1)))
     ratio = 2 * (part(n1, share * bad) + part(n0, share * good) + part(bad - n1, (1 - share) * bad) + part(good - n0, (1 - share) * good))
-    rows = rows.where(n1 * good > n0 * bad).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
-    features = [r.feature for r in rows.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()]
+    rows = rows.where(n1 * good > n0 * bad).withColumn("ratio", ratio)
+    best = rows.select("feature", "ratio").orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()
+    features, ratios = [r.feature for r in best], np.array([r.ratio for r in best], float)
     blank = Model(features, np.zeros(len(features)), np.zeros(1))
     found = texts.mapInArrow(lambda batches: _values(batches, blank), "k array<int>, n array<int>, grade int").collect()
     data = []
@@ -163,10 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts = dict(zip(r.k, r.n, strict=True))
         grade = max(r.grade, 0)
         if grade and not graded:
-            words = sum(n for k, n in counts.items() if features[k][0] == "=") or max(counts.values(), default=0)
+            clear = {k: n for k, n in counts.items() if ratios[k] >= CLEAR}
+            words = sum(n for k, n in clear.items() if features[k][0] == "=") or max(clear.values(), default=0)
             grade = 1 + sum(words >= g for g in GRADES)
         data.append((counts, grade))
-    weights, thresholds = fit_ordinal(data, len(features))
+    weights, thresholds = fit_ordinal(data, len(features), scale=np.clip(ratios / WEAK, 0, 1) ** 1.5)
     return Model(features, weights, thresholds)
 
 

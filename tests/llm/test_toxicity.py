@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tablewright.llm import toxicity as T
 
 
@@ -51,3 +53,13 @@ def test_odd_rows(spark):
     assert T.score(docs.limit(0), model).collect() == [] and T.clean(docs.limit(0), model).collect() == []
     one = T.train(docs, spark.createDataFrame([(1, 0), (None, 1), (9, 1), (2, None)], "doc_id long, toxic int"))
     assert not any(r.toxic for r in T.score(docs, one).collect())
+
+
+@pytest.mark.parametrize("size, training, other", [("sf0.001", 1.0, 0.3), ("sf0.01", 0.9, 0.7)])
+def test_few_labels_still_find_toxic_texts(spark, size, training, other):
+    read = lambda size, name: spark.read.parquet(f"/root/testdata/{size}/{name}.parquet")
+    model = T.train(read(size, "documents"), read(size, "labels"))
+    for tables, least in ((size, training), ("sf0.1", other)):
+        rows = T.score(read(tables, "documents"), model).join(read(tables, "labels").select("doc_id", F.col("toxic").alias("bad")), "doc_id").collect()
+        bad, clean = ([r.toxic for r in rows if r.bad == b] for b in (1, 0))
+        assert sum(bad) >= least * len(bad) and sum(clean) <= 0.01 * len(clean)

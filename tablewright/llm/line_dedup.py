@@ -1,7 +1,8 @@
 """Removing passages that repeat across documents, line by line, by winnowing.
 
-Documents are lists of lines. A window is the shortest run of lines from a given line on that holds
-at least ``words`` words. The line with the least hash in a window is its fingerprint, and what the
+Documents are lists of lines. A window is the shortest run of lines from a given line on, or up to a
+given line, that holds at least ``words`` words; so each line of a longer repeated run lies in a
+window that the run holds, whichever document had its beginning first. The line with the least hash in a window is its fingerprint, and what the
 fingerprints are joined on is that hash together with the hash of the window around it. So every
 repeated run of at least ``words`` words holds a window whose fingerprint is the same in both
 places, and lines that merely are common don't meet.
@@ -55,8 +56,11 @@ def windows(hashes: np.ndarray, counts: np.ndarray, words: int) -> list[tuple[in
     sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     ends = np.searchsorted(sums, sums[:-1] + words)
     starts = np.flatnonzero((ends <= len(hashes)) & (counts > 0))
+    # and back from each end, the mirror of these
+    back = np.searchsorted(sums, sums[1:] - words, "right") - 1
+    stops = np.flatnonzero((back >= 0) & (counts > 0))
     out = []
-    for a, b in zip(starts.tolist(), ends[starts].tolist(), strict=True):
+    for a, b in sorted({*zip(starts.tolist(), ends[starts].tolist(), strict=True), *zip(back[stops].tolist(), (stops + 1).tolist(), strict=True)}):
         part = hashes[a:b]
         out.append((int(part.min()), xxhash.xxh64_intdigest(part.tobytes(), 1) - (1 << 63), a))
     return out

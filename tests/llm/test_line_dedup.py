@@ -73,3 +73,10 @@ def test_keeps_common_short_lines_and_first_copies(spark):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_end_of_a_passage_whose_beginning_came_earlier(spark):
+    long, tail = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(10))
+    docs = spark.createDataFrame([(1, f"{long}\nfirst goes on"), (2, f"{long}\n{tail}\nsecond goes on"), (3, f"{long}\n{tail}\nthird goes on")], "doc_id long, text string")
+    got = {r.row.doc_id: r.row.text for r in L.dedup_lines(docs).collect()}
+    assert got == {1: f"{long}\nfirst goes on", 2: f"{tail}\nsecond goes on", 3: "third goes on"}

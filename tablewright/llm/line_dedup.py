@@ -1,13 +1,13 @@
-"""Removing passages that repeat across documents, line by line, by winnowing.
+"""Removing passages that repeat across documents, line by line, by hashes of windows.
 
 Documents are lists of lines. A window is the shortest run of lines from a given line on, or up to a
 given line, that holds at least ``words`` words; so each line of a longer repeated run lies in a
-window that the run holds, whichever document had its beginning first. The line with the least hash in a window is its fingerprint, and what the
-fingerprints are joined on is that hash together with the hash of the window around it. So every
-repeated run of at least ``words`` words holds a window whose fingerprint is the same in both
-places, and lines that merely are common don't meet.
+window that the run holds, whichever document had its beginning first. What windows are joined on is the
+hash of the whole window, beside the least hash of its lines, which follows from it. So every repeated
+run of at least ``words`` words holds a window with the same hash in both places, and lines that
+merely are common don't meet. Unlike winnowing, this selects no sparse fingerprints.
 
-The first position of each repeated fingerprint, in the order of documents and lines, is joined to
+The first position of each repeated window, in the order of documents and lines, is joined to
 all later ones. Each such pair is extended both ways as long as the lines agree, and the run is
 deleted in the later place. Every deleted line has an equal one earlier, so the first copy of a
 line always stays.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,8 +39,8 @@ def tokenizer_path(name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    tests on one machine, a folder of our own is used.
+    The folder is the one that ``spark.checkpoint.dir`` names. Only on a local master, as in tests, a
+    folder of our own is used where that is unset.
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
@@ -49,7 +50,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablewright-"))
     return context.getCheckpointDir()
 
 
@@ -97,30 +101,34 @@ def matched(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, keys).withColumn("copy", copy).drop(*keys)
 
 
-def skewed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``right`` and may be hot in ``left``.
+def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], by: list[str]) -> DataFrame:
+    """Inner join on the columns ``on``, which are unique in ``right`` and may be hot in ``left``.
 
-    Keys with more than ``HOT_ROWS`` rows are joined by broadcast, so that their rows stay where they
-    are; there are at most one for each ``HOT_ROWS`` rows of ``left``.
+    The rows of a key are dealt by a hash of the columns ``by`` over as many parts as there are
+    shuffle partitions, and the key's row of ``right`` goes to those parts that occur. So no task
+    gets all rows of a key, and nothing is broadcast or counted beforehand.
     """
-    hot = F.broadcast(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(key))
-    few = F.broadcast(right.join(hot, key, "left_semi"))
-    return left.join(hot, key, "left_anti").join(right, key).unionByName(left.join(few, key))
+    on = [on] if isinstance(on, str) else on
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    # at most ``parts`` rows a key, combined before they are shuffled
+    heads = left.select(*on, "_part").distinct().join(right, on)
+    return left.join(heads, [*on, "_part"]).drop("_part")
 
 
 #: Rows of a side that is sent to every executor.
 BROADCAST_ROWS = 100_000
 
 
-def small_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def small_join(left: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Inner join with a side that is usually small and is unique in ``key``.
 
     ``right`` must be cheap to count, such as a table from ``cut``. It is broadcast if it has at
-    most ``BROADCAST_ROWS`` rows.
+    most ``BROADCAST_ROWS`` rows; otherwise the join is spread by the columns ``by``.
     """
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key)
-    return skewed_join(left, right, key)
+    return spread_join(left, right, key, by)
 
 
 def _facts(edges: DataFrame) -> tuple[tuple[int, int | None], int]:
@@ -137,13 +145,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges stay the same. Each step takes a
     minimum per node, combined before the shuffle, and joins it back; where a node has so many
-    edges that this would gather them, that node's minimum is broadcast instead. The driver only
-    sees counts and a hash. Nodes without an edge to another node don't appear.
+    edges that this would gather them, the join is spread. The driver only sees counts and a hash. Nodes without an edge to another node don't appear.
     """
 
     def star(pairs: DataFrame, most: int) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(low, "u") if most <= HOT_ROWS else skewed_join(pairs, low, "u")
+        return pairs.join(low, "u") if most <= HOT_ROWS else spread_join(pairs, low, "u", ["v"])
 
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lean, matched, skewed_join, small_join, text_code
+from .common import components, cut, lean, matched, small_join, spread_join, text_code
 from .simhash_dedup import CHUNK, least_rows, spanning
 
 WORDS, SIMILARITY = 5, 0.8
@@ -133,14 +133,14 @@ def _shingled(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(fp, hashes) of the nodes in ``pairs``."""
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
     wanted = cut(ends.join(nodes.select("fp", "code"), "fp"))
-    texts = small_join(docs.select(text_code(F.col("text")).alias("code"), "text"), wanted, "code").dropDuplicates(["code"])
+    texts = small_join(docs.select(text_code(F.col("text")).alias("code"), "text"), wanted, "code", ["text"]).dropDuplicates(["code"])
     return cut(texts.select("fp", "text").mapInArrow(lambda batches: lean(_sets(batches)), "fp long, hashes array<long>"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` that are at ``SIMILARITY`` or above."""
     for end, other in (("u", "a"), ("v", "b")):
-        pairs = skewed_join(pairs, sets.select(F.col("fp").alias(end), F.col("hashes").alias(other)), end)
+        pairs = spread_join(pairs, sets.select(F.col("fp").alias(end), F.col("hashes").alias(other)), end, ["u", "v"])
     return cut(pairs.select("u", "v", "a", "b").mapInArrow(lambda batches: lean(_verified(batches)), "u long, v long"))
 
 
@@ -163,7 +163,7 @@ def _groups(nodes: DataFrame, docs: DataFrame, tile: int) -> DataFrame:
     sets = _shingled(rest, nodes, docs)
     for most in ROUNDS:
         for end, group in (("u", "gu"), ("v", "gv")):
-            rest = skewed_join(rest.drop(group), nodes.select(F.col("fp").alias(end), F.col("root").alias(group)), end)
+            rest = spread_join(rest.drop(group), nodes.select(F.col("fp").alias(end), F.col("root").alias(group)), end, ["u", "v"])
         rest = cut(rest.where("gu <> gv"))
         if rest.isEmpty():
             break

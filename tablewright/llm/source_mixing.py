@@ -103,7 +103,7 @@ def _mixed(docs: DataFrame, weights: Sequence[float], budget: float) -> DataFram
     starts = sums.select("_s", "round", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     within = W.partitionBy("_s", "round", "slice").orderBy("_h", "_row").rowsBetween(W.unboundedPreceding, 0)
     timed = queue.withColumn("run", F.sum("size").over(within)).join(starts, ["_s", "round", "slice"])
-    timed = small_join(timed, goals.select("_s", "target", "total"), "_s")
+    timed = small_join(timed, goals.select("_s", "target", "total"), "_s", ["_row", "round"])
     timed = timed.select("_row", "size", "_h", "total", ((F.col("start") + F.col("run")) / F.col("target")).alias("finish"))
     merged = timed.repartitionByRange("finish", "_h", "_row").sortWithinPartitions("finish", "_h", "_row")
     merged = cut(merged.withColumn("part", F.spark_partition_id()))
@@ -119,5 +119,5 @@ def _mixed(docs: DataFrame, weights: Sequence[float], budget: float) -> DataFram
     inside = merged.join(F.broadcast(whole), "part", "left_semi").select("_row", "size")
     edge = merged.join(F.broadcast(border), "part").withColumn("run", run).where("start + run <= total").select("_row", "size")
     taken = inside.unionByName(edge).groupBy("_row").agg(F.sum("size").alias("taken"))
-    out = small_join(rows.withColumn("_s", F.xxhash64("source")).join(taken, "_row", "left"), goals, "_s")
+    out = small_join(rows.withColumn("_s", F.xxhash64("source")).join(taken, "_row", "left"), goals, "_s", ["_row"])
     return out.select("doc_id", "code", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

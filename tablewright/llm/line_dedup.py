@@ -1,168 +1,274 @@
-"""Removing passages that repeat across documents, line by line, by hashes of windows.
-
-Documents are lists of lines. A window is the shortest run of lines from a given line on, or up to a
-given line, that holds at least ``words`` words; so each line of a longer repeated run lies in a
-window that the run holds, whichever document had its beginning first. What windows are joined on is the
-hash of the whole window, beside the least hash of its lines, which follows from it. So every repeated
-run of at least ``words`` words holds a window with the same hash in both places, and lines that
-merely are common don't meet. Unlike winnowing, this selects no sparse fingerprints.
-
-The first position of each repeated window, in the order of documents and lines, is joined to
-all later ones. Each such pair is extended both ways as long as the lines agree, and the run is
-deleted in the later place. Every deleted line has an equal one earlier, so the first copy of a
-line always stays.
-
-Tables between the steps have a row for each window or document, without texts: 64-bit hashes of
-lines and word counts. The texts are shuffled once, when the runs are deleted.
+"""Removing passages that repeat, by winnowing over hashes of lines.
+
+A line of a text that holds several sentences is taken as several lines, so that a passage put
+into the middle of a paragraph still has lines of its own. Blank lines don't count. The method:
+
+* A window is the shortest run of lines from a given one on that holds ``SEEN`` words. Of each window
+  the line with the least hash is selected, the last of them if several have it. So a run of lines
+  with as many words has a selected line wherever it occurs, and neighbouring windows mostly select
+  the same one: a text has far fewer selected lines than windows.
+* Selected positions are joined by their line's hash. Text around those that occur once only is
+  never looked at again.
+* Around the others, the windows that hold them are matched with an earlier place: the nearest one
+  in the same document, or else the first one in the order of documents and lines. Windows are those
+  of ``SEEN`` words and of the full ``words``, from each line on and up to each line.
+* Matches at the same distance are extended both ways: over the windows that touch them, and then
+  word by word into the lines in which the two places part (``EDGE`` words at least, as fewer agree by
+  chance).
+* Matches that then have at least ``words`` words are deleted in the later place.
+
+So every run of whole lines with at least ``words`` words that occurs earlier is deleted, whichever
+document had its beginning first. Passages of as many words that begin or end within a line are
+found if whole lines hold at least ``SEEN`` of them, from the first place of one of their windows.
+
+What lies between the steps are tables of hashes: one row for each text, selected position, window
+around a shared one, or run. A hash or window that a third of the texts share is counted before it
+is shuffled and joined in parts. Texts are shuffled once, when the runs are deleted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lean, matched, text_code
+from .common import cut, id_columns, lean, spread_join, text_code
 
-#: Words of the shortest run that is deleted.
-WORDS = 50
+#: Words of the shortest run that is deleted, and of the whole lines that a run is found by.
+WORDS, SEEN = 50, 25
+#: Words, at least, by which a run reaches into a line.
+EDGE = 3
 
-_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+#: Where a line is divided: white space after the end of a sentence, and line feeds.
+_ENDS = re.compile(rb"(?<=[.!?])[ \t\x0b\f\r]+|\n")
+_LONGS = pa.list_(pa.int64())
+#: What tells a text from others, in the order of documents.
+KEY = ["no_id", "id", "code"]
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
-    """Signed hash and word count of each line; spaces at a line's ends or repeated don't count."""
-    hashes, counts = [], []
-    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        terms = line.split()
-        hashes.append(xxhash.xxh64_intdigest(b" ".join(terms)) - (1 << 63))
-        counts.append(len(terms))
-    return hashes, counts
+def lines_of(text: str | None) -> list[list[bytes]]:
+    """The words of each line that has any."""
+    return [words for part in _ENDS.split((text or "").encode("utf-8", "surrogatepass")) if (words := part.split())]
 
 
 def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole, word = xxhash.xxh64_intdigest, xxhash.xxh32_intdigest
     for batch in batches:
-        hashes, counts = zip(*(line_hashes(t.as_py()) for t in batch.column(2)), strict=True) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, _LONGS), pa.array(counts, _INTS)], ["doc_id", "code", "hashes", "counts"])
-
-
-def windows(hashes: np.ndarray, counts: np.ndarray, words: int) -> list[tuple[int, int, int]]:
-    """(least line hash, hash of the window, start) of each window."""
-    sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    ends = np.searchsorted(sums, sums[:-1] + words)
-    starts = np.flatnonzero((ends <= len(hashes)) & (counts > 0))
-    # and back from each end, the mirror of these
-    back = np.searchsorted(sums, sums[1:] - words, "right") - 1
-    stops = np.flatnonzero((back >= 0) & (counts > 0))
+        hashes, sizes, words = [], [], []
+        for text in batch.column(3):
+            lines = lines_of(text.as_py())
+            hashes.append(np.fromiter((whole(b" ".join(x)) for x in lines), np.uint64, len(lines)).tobytes())
+            sizes.append(np.fromiter(map(len, lines), np.int32, len(lines)).tobytes())
+            words.append(np.fromiter((word(w) for x in lines for w in x), np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.binary()) for x in (hashes, sizes, words))], [*KEY, "hashes", "sizes", "words"])
+
+
+def windows(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the shortest runs from each line on, or up to each line, with ``least`` words."""
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    ends = np.searchsorted(before, before[:-1] + least)
+    starts = np.flatnonzero(ends <= len(sizes))
+    back = np.searchsorted(before, before[1:] - least, "right") - 1
+    stops = np.flatnonzero(back >= 0)
+    pairs = np.unique(np.stack([np.concatenate([starts, back[stops]]), np.concatenate([ends[starts], stops + 1])], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def selected(hashes: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Places of the least hash in each shortest window from a line on, the last one of equals."""
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    ends = np.searchsorted(before, before[:-1] + least)
+    starts = np.flatnonzero(ends <= len(hashes))
+    ends = ends[starts]
+    best = starts.copy()
+    # each line has a word, so a window has no more lines than ``least``
+    for step in range(1, int((ends - starts).max(initial=0))):
+        at = np.minimum(starts + step, len(hashes) - 1)
+        best = np.where((starts + step < ends) & (hashes[at] <= hashes[best]), at, best)
+    return np.unique(best)
+
+
+def _selected(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, row = [], []
+        places = []
+        for k, (hashes, sizes) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            h = np.frombuffer(hashes.as_buffer(), np.int64)
+            at = selected(h, np.frombuffer(sizes.as_buffer(), np.int32), least)
+            found.append(h[at])
+            places.append(at)
+            row.append(np.full(len(at), k))
+        keys = batch.select([0, 1, 2]).take(pa.array(np.concatenate(row or [[]]).astype(np.int64)))
+        low, at = (pa.array(np.concatenate(x or [[]]).astype(np.int64)) for x in (found, places))
+        yield pa.RecordBatch.from_arrays([*keys.columns, low, at], [*KEY, "low", "at"])
+
+
+def around(hashes: np.ndarray, sizes: np.ndarray, at: np.ndarray, lengths: Iterable[int]) -> list[tuple[int, int, int, int | None]]:
+    """(hash, start, end, start of the nearest earlier like in this text) of the windows that hold a place in ``at``."""
+    marked = np.zeros(len(hashes) + 1, np.int64)
+    marked[at + 1] = 1
+    marked = np.cumsum(marked)
+    both = np.unique(np.concatenate([np.stack(windows(sizes, n), 1) for n in lengths]), axis=0)
+    both = both[marked[both[:, 1]] > marked[both[:, 0]]]
+    last: dict[int, int] = {}
     out = []
-    for a, b in sorted({*zip(starts.tolist(), ends[starts].tolist(), strict=True), *zip(back[stops].tolist(), (stops + 1).tolist(), strict=True)}):
-        part = hashes[a:b]
-        out.append((int(part.min()), xxhash.xxh64_intdigest(part.tobytes(), 1) - (1 << 63), a))
+    data = hashes.tobytes()
+    for a, b in both.tolist():
+        h = xxhash.xxh64_intdigest(data[8 * a : 8 * b], 1) - (1 << 63)
+        out.append((h, a, b, last.get(h)))
+        last[h] = a
     return out
 
 
-def _windows(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _around(batches: Iterable[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for place, hashes, counts in zip(*(batch.column(k) for k in range(3)), strict=True):
-            at = place.as_py()
-            out += [(*w, at) for w in windows(np.asarray(hashes.values), np.asarray(counts.values), words)]
+        rows, out = [], []
+        for k, (at, hashes, sizes) in enumerate(zip(*batch.columns[3:6], strict=True)):
+            found = around(np.frombuffer(hashes.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int32), np.asarray(at.values), lengths)
+            rows += [k] * len(found)
+            out += found
+        keys = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
         columns = zip(*out, strict=True) if out else ((), (), (), ())
-        low, whole, start, at = (pa.array(c, pa.int64()) for c in columns)
-        yield pa.RecordBatch.from_arrays([low, whole, at, start], ["low", "whole", "place", "start"])
-
-
-def _reach(same: np.ndarray) -> int:
-    """How many are true from the start on."""
-    return len(same) if same.all() else int(same.argmin())
-
-
-def extend(later: np.ndarray, first: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of ``later`` that agree with ``first`` around the pairs of positions in ``hits``."""
-    runs: list[tuple[int, int]] = []
-    upto: dict[int, int] = {}  # by the distance of a pair: the end of its last run
-    for at, other in sorted(hits):
-        if later[at] != first[other] or at < upto.get(at - other, 0):
-            continue
-        n, step, ahead = min(len(later) - at, len(first) - other), 64, 0
-        while ahead < n:
-            got = _reach(later[at + ahead : at + min(n, ahead + step)] == first[other + ahead : other + min(n, ahead + step)])
-            ahead += got
-            if got < step:
-                break
-            step *= 4
-        n, step, back = min(at, other), 64, 0
-        while back < n:
-            to = min(n, back + step)
-            got = _reach((later[at - to : at - back] == first[other - to : other - back])[::-1])
-            back += got
-            if got < step:
-                break
-            step *= 4
-        runs.append((at - back, at + ahead))
-        upto[at - other] = at + ahead
-    return runs
-
-
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, pa.int64()) for c in columns)], [*KEY, "whole", "a", "b", "other"])
+
+
+def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of lines, and the words before each; lines before the first and after the last are empty."""
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for place, starts, firsts, later, first in zip(*batch.columns, strict=True):
-            hits = list(zip(starts.as_py(), firsts.as_py(), strict=True))
-            out += [(place.as_py(), a, b) for a, b in extend(np.asarray(later.values), np.asarray(first.values), hits)]
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "a", "b"])
+        rows, lines, begins, words = [], [], [], []
+        for k, (wanted, sizes, every) in enumerate(zip(*batch.columns[3:6], strict=True)):
+            before = np.concatenate([[0, 0], np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32), dtype=np.int64)])
+            before = np.append(before, before[-1])
+            data = every.as_py()
+            for n in wanted.as_py():
+                rows.append(k)
+                lines.append(n)
+                begins.append(int(before[n + 1]))
+                words.append(data[4 * before[n + 1] : 4 * before[n + 2]])
+        keys = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(lines, pa.int64()), pa.array(begins, pa.int64()), pa.array(words, pa.binary())], [*KEY, "line", "begin", "words"])
 
 
-def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, code, runs, copies) of each distinct pair of doc_id and text; ``code`` is the text's hash.
+def agree(a: bytes, b: bytes) -> int:
+    """How many words the two begin with in common."""
+    n = min(len(a), len(b)) // 4
+    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
+    return n if (same := x == y).all() else int(same.argmin())
 
-    ``runs`` lists the [a, b) of lines to delete, in order and without overlap, null if none;
-    ``copies`` is how many rows the pair has.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.select("doc_id", text_code(F.col("text")).alias("code"), "text").mapInArrow(lambda batches: lean(_lines(batches)), f"doc_id {kind}, code long, hashes array<long>, counts array<int>")
-    lines = lines.groupBy("doc_id", "code").agg(F.first("hashes").alias("hashes"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("copies"))
-    # numbered in the order of documents: the ids rise with the sorted partitions
-    lines = cut(lines.orderBy(F.col("doc_id").asc_nulls_last(), "code")).withColumn("place", F.monotonically_increasing_id())
-    found = cut(lines.select("place", "hashes", "counts").mapInArrow(lambda batches: _windows(batches, words), "low long, whole long, place long, start long"))
-    firsts = found.groupBy("low", "whole").agg(F.min(F.struct("place", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = cut(firsts.where("n > 1").select("low", "whole", F.col("first.place").alias("first_place"), F.col("first.start").alias("first_start")))
-    hits = found.join(firsts, ["low", "whole"]).where("place <> first_place or start <> first_start")
-    pairs = hits.groupBy("place", "first_place").agg(F.collect_list(F.struct("start", "first_start")).alias("hits"))
-    pairs = cut(pairs.select("place", "first_place", F.col("hits.start").alias("starts"), F.col("hits.first_start").alias("firsts")))
-    pairs = pairs.join(lines.select("place", F.col("hashes").alias("later")), "place")
-    pairs = pairs.join(lines.select(F.col("place").alias("first_place"), F.col("hashes").alias("first")), "first_place")
-    runs = pairs.select("place", "starts", "firsts", "later", "first").mapInArrow(_runs, "place long, a long, b long")
-    # runs that touch or overlap become one
-    before = W.partitionBy("place").orderBy("a", "b")
-    runs = runs.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(before)).groupBy("place", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    runs = runs.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
-    known = lines.select("place", "doc_id", "code", "copies", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
-    return known.join(runs, "place", "left").select("doc_id", "code", "copies", "total", "runs")
-
-
-def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
+
+def _reversed(words: bytes) -> bytes:
+    return np.frombuffer(words, np.uint32)[::-1].tobytes()
+
+
+def _extended(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        begins, ends, keep = [], [], []
+        for a, b, w0, w1, w2, w3 in zip(*(batch.column(k) for k in range(3, 9)), strict=True):
+            left, right = agree(_reversed(w0.as_py()), _reversed(w2.as_py())), agree(w1.as_py(), w3.as_py())
+            begin = a.as_py() - (left if left >= EDGE else 0)
+            end = b.as_py() + (right if right >= EDGE else 0)
+            begins.append(begin)
+            ends.append(end)
+            keep.append(end - begin >= least)
+        out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], [*KEY, "a", "b"])
+        yield out.filter(pa.array(keep, pa.bool_()))
+
+
+def _joined(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs [a, b) that touch or overlap become one, among those that agree in ``by``."""
+    order = W.partitionBy(*by).orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("_new", F.when(F.col("a") <= reach, 0).otherwise(1))
+    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+
+
+def _keys(doc_id: Column, text: Column, docs: DataFrame) -> list[Column]:
+    no_id, known = id_columns(doc_id, docs.schema["doc_id"].dataType)
+    return [no_id.alias("no_id"), known.alias("id"), text_code(text).alias("code")]
+
+
+def repeated_runs(docs: DataFrame, words: int = WORDS, seen: int = SEEN) -> DataFrame:
+    """(no_id, id, code, runs) of the texts with something to delete; ``runs`` lists the [a, b) of words, in
+    order and without overlap. The first three are the doc_id's and the text's, as in ``KEY``."""
+    seen = min(seen, words)
+    texts = docs.select(*_keys(F.col("doc_id"), F.col("text"), docs), "text")
+    types = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in KEY)
+    lines = cut(texts.mapInArrow(lambda batches: lean(_lines(batches)), f"{types}, hashes binary, sizes binary, words binary"))
+    prints = cut(lines.drop("words").mapInArrow(lambda batches: _selected(batches, seen), f"{types}, low long, at long"))
+    common = prints.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
+    shared = spread_join(prints, common, "low", ["code", "at"]).groupBy(*KEY).agg(F.collect_set("at").alias("at"))
+    held = shared.join(lines.select(*KEY, "hashes", "sizes"), KEY).select(*KEY, "at", "hashes", "sizes")
+    found = cut(held.mapInArrow(lambda batches: _around(batches, (seen, words)), f"{types}, whole long, a long, b long, other long"))
+
+    key, first = F.struct(*KEY), F.struct(F.col("first.key.*"))
+    firsts = found.where("other is null").groupBy("whole").agg(F.min(F.struct(key.alias("key"), "a")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.where("n > 1").select("whole", first.alias("first"), F.col("first.a").alias("other"))
+    apart = spread_join(found.where("other is null").drop("other"), firsts, "whole", ["code", "a"]).where(key != F.col("first"))
+    within = found.where("other is not null").select(*KEY, "a", "b", key.alias("first"), "other")
+    hits = apart.select(*KEY, "a", "b", "first", "other").unionByName(within)
+    runs = _joined(hits.withColumn("far", F.col("a") - F.col("other")), [*KEY, "first", "far"])
+    runs = cut(runs.select(*KEY, "first", "a", "b", (F.col("a") - F.col("far")).alias("oa"), (F.col("b") - F.col("far")).alias("ob"))).withColumn("run", F.monotonically_increasing_id())
+
+    # the lines before and after each run, in both places: their words
+    mine, theirs = [F.col(c) for c in KEY], [F.col(f"first.{c}") for c in KEY]
+    sides = [(0, mine, F.col("a") - 1), (1, mine, F.col("b")), (2, theirs, F.col("oa") - 1), (3, theirs, F.col("ob"))]
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), *[c.alias(n) for c, n in zip(of, KEY, strict=True)], line.alias("line")) for k, of, line in sides]))
+    ends = cut(runs.select("run", ends.alias("e")).select("run", "e.*"))
+    wanted = ends.select(*KEY, "line").distinct().groupBy(*KEY).agg(F.collect_list("line").alias("wanted"))
+    edges = wanted.join(lines.select(*KEY, "sizes", "words"), KEY).select(*KEY, "wanted", "sizes", "words")
+    edges = edges.mapInArrow(lambda batches: lean(_edges(batches)), f"{types}, line long, begin long, words binary").dropDuplicates([*KEY, "line"])
+    ends = spread_join(ends, cut(edges), [*KEY, "line"], ["run"])
+    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    after = F.col("begin") + F.octet_length("words") / 4
+    ends = ends.withColumn("after", after.cast("long")).groupBy("run").agg(pick(0, "after").alias("a"), pick(1, "begin").alias("b"), *[pick(k, "words").alias(f"w{k}") for k in range(4)])
+    rows = runs.select(*KEY, "run").join(ends, "run").select(*KEY, "a", "b", "w0", "w1", "w2", "w3")
+    gone = _joined(rows.mapInArrow(lambda batches: _extended(batches, words), f"{types}, a long, b long"), KEY)
+    return gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, words: int = WORDS, seen: int = SEEN) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated runs taken out of text: a struct ``row`` of all its
-    columns, and ``n_lines`` and ``n_removed``.
+    columns, and ``n_words`` and ``n_removed``.
 
     The order of documents is by doc_id, null last, then by a hash of the text. Of rows that agree
     in doc_id and text, one is treated as above; the others repeat it as a whole and lose all their
-    lines if it has at least ``words`` words. Runs within one document count as well. A null text
-    has no lines and stays null. A document whose lines are all deleted keeps its row, with an
+    words if they have at least ``words``. Runs within one document count as well.
+
+    Words are what ASCII white space divides. With a run goes the white space after it, but a line
+    feed there stays unless one is before the run; a text that loses its end ends in no white space.
+    A null text has no words and stays null. A document that loses all words keeps its row, with an
     empty text. An empty table gives an empty result.
     """
-    rows = matched(docs, repeated_runs(docs, words)).withColumn("further", (F.col("copy") > 1) & (F.col("total") >= words))
-    lines = F.split(F.col("row.text"), "\n")
-    keep = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i < r["b"])))
-    text = F.when(F.col("further"), F.lit("")).when(F.col("runs").isNotNull(), F.array_join(keep, "\n")).otherwise(F.col("row.text"))
-    n = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    gone = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
-    removed = F.when(F.col("row.text").isNull(), F.lit(0)).when(F.col("further"), n).otherwise(F.coalesce(gone, F.lit(0))).cast("long")
-    return rows.select(F.col("row").withField("text", text).alias("row"), n.alias("n_lines"), removed.alias("n_removed"))
+    names = [f"_{c}" for c in KEY]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = rows.select("row", *[c.alias(n) for c, n in zip(_keys(F.col("row.doc_id"), F.col("row.text"), docs), names, strict=True)])
+    runs = repeated_runs(docs, words, seen).withColumnsRenamed(dict(zip(KEY, names, strict=True)))
+    copy = F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0)))
+    rows = rows.join(runs, names, "left").withColumn("copy", copy)
+    text, space = F.col("row.text"), r"[ \t\n\x0B\f\r]"
+    # each word with the white space after it
+    tokens = F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"), F.lit(0))
+    n = F.coalesce(F.size(tokens), F.lit(0)).cast("long")
+    rows = rows.withColumn("n_words", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n))
+    last = F.col("n_words") - 1
+
+    def kept(t: Column, i: Column) -> Column:
+        run = F.get(F.filter("runs", lambda r: (i >= r["a"]) & (i < r["b"])), F.lit(0))
+        feed = (i == run["b"] - 1) & (i < last) & (run["a"] > 0) & t.contains("\n")
+        return F.when(run.isNull(), t).when(feed & ~F.get(tokens, (run["a"] - 1).cast("int")).contains("\n"), F.lit("\n")).otherwise(F.lit(""))
+
+    lead = F.when(F.exists("runs", lambda r: r["a"] == 0), "").otherwise(F.regexp_extract(text, f"^{space}*", 0))
+    left = F.concat(lead, F.array_join(F.transform(tokens, kept), ""))
+    left = F.when(F.exists("runs", lambda r: r["b"] > last), F.regexp_replace(left, f"{space}+$", "")).otherwise(left)
+    further = (F.col("copy") > 1) & (F.col("n_words") >= words)
+    out = F.when(further, F.lit("")).when(F.col("runs").isNotNull(), left).otherwise(text)
+    lost = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
+    removed = F.when(further, F.col("n_words")).otherwise(F.coalesce(lost, F.lit(0).cast("long")))
+    return rows.select(F.col("row").withField("text", out).alias("row"), "n_words", removed.alias("n_removed"))

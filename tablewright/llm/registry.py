@@ -43,7 +43,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("row.doc_id", "row.text", "n_lines", "n_removed")
+    return found.select("row.doc_id", "row.text", "n_words", "n_removed")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,66 +1,98 @@
 import random
+import re
+import time
 
+import numpy as np
 import xxhash
 from tablewright.llm import line_dedup as L
 
+SPACE = " \t\n\x0b\x0c\r"
+
 
 def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def brute(rows, words):
-    """[(doc_id, text, new text)]"""
+def brute(rows, words=50, seen=25):
+    """[(doc_id, text, new text)]: every window's content is held against every earlier place."""
     code = lambda t: signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
     docs = sorted({(d is None, d or 0, code(t), d, t or "") for d, t in rows})
-    lines = [[" ".join(x.split(" ")).strip() for x in doc[4].split("\n")] for doc in docs]
-    count = [[len(x.split()) for x in doc] for doc in lines]
-    lines = [[" ".join(x.split()) for x in doc] for doc in lines]
+    tokens = [re.findall(rf"[^{SPACE}]+[{SPACE}]*", doc[4]) for doc in docs]
+    plain = [[t.strip(SPACE) for t in x] for x in tokens]
+    lines = []  # (begin, end) in words
+    for x in tokens:
+        cuts = [0, *(n + 1 for n, t in enumerate(x) if "\n" in t or n == len(x) - 1 or t.strip(SPACE)[-1] in ".!?")] if x else [0]
+        lines.append(list(zip(cuts, cuts[1:])))
 
     def windows(k):
-        for i in range(len(lines[k])):
-            if count[k][i]:
-                for j in range(i + 1, len(lines[k]) + 1):
-                    if sum(count[k][i:j]) >= words:
-                        yield i, tuple(lines[k][i:j])
-                        break
-
-    first, gone = {}, [set() for _ in docs]
+        out = set()
+        for least in (min(seen, words), words):
+            for n in range(len(lines[k])):
+                forth = next((m for m in range(n, len(lines[k])) if lines[k][m][1] - lines[k][n][0] >= least), None)
+                back = next((m for m in range(n, -1, -1) if lines[k][n][1] - lines[k][m][0] >= least), None)
+                out |= {(n, forth + 1)} if forth is not None else set()
+                out |= {(back, n + 1)} if back is not None else set()
+        return sorted(out)
+
+    content = lambda k, a, b: tuple(tuple(plain[k][p:q]) for p, q in lines[k][a:b])
+    first, pairs = {}, set()
     for k in range(len(docs)):
-        for i, w in windows(k):
-            if w not in first:
-                first[w] = (k, i)
-                continue
-            f, j = first[w]
-            a = 0
-            while i - a > 0 and j - a > 0 and lines[k][i - a - 1] == lines[f][j - a - 1]:
-                a += 1
-            b = 0
-            while i + b < len(lines[k]) and j + b < len(lines[f]) and lines[k][i + b] == lines[f][j + b]:
-                b += 1
-            gone[k].update(range(i - a, i + b))
-    new = {doc[3:]: "\n".join(x for n, x in enumerate(doc[4].split("\n")) if n not in gone[k]) for k, doc in enumerate(docs)}
-    total = {doc[3:]: sum(count[k]) for k, doc in enumerate(docs)}
-    out, seen = [], set()
+        last = {}
+        for a, b in windows(k):
+            w = content(k, a, b)
+            if w in last:
+                pairs.add((k, a, b, k, last[w]))
+            elif w in first:
+                pairs.add((k, a, b, *first[w]))
+            last[w] = a
+            first.setdefault(w, (k, a))
+    chains = []
+    for k, a, b, f, c in sorted(pairs, key=lambda p: (p[0], p[3], p[1] - p[4], p[1], p[2])):
+        if chains and chains[-1][0] == k and chains[-1][3] == f and chains[-1][1] - chains[-1][4] == a - c and a <= chains[-1][2]:
+            chains[-1][2] = max(chains[-1][2], b)
+        else:
+            chains.append([k, a, b, f, c])
+    gone = [set() for _ in docs]
+    for k, a, b, f, c in chains:
+        begin, end = lines[k][a][0], lines[k][b - 1][1]
+        inside = lambda f, n: plain[f][slice(*lines[f][n])] if 0 <= n < len(lines[f]) else []
+        same = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        left, right = same(inside(k, a - 1)[::-1], inside(f, c - 1)[::-1]), same(inside(k, b), inside(f, c + b - a))
+        begin, end = begin - left * (left >= 3), end + right * (right >= 3)
+        if end - begin >= words:
+            gone[k].update(range(begin, end))
+    new = {}
+    for k, doc in enumerate(docs):
+        x, out = tokens[k], re.match(rf"[{SPACE}]*", doc[4])[0] if 0 not in gone[k] else ""
+        for n, t in enumerate(x):
+            if n not in gone[k]:
+                out += t
+            elif n + 1 < len(x) and n + 1 not in gone[k] and "\n" in t:
+                begin = next(m for m in range(n, -1, -1) if m == 0 or m - 1 not in gone[k])
+                out += "\n" if begin and "\n" not in x[begin - 1] else ""
+        new[doc[3:]] = out.rstrip(SPACE) if len(x) - 1 in gone[k] else out
+    total = {doc[3:]: len(tokens[k]) for k, doc in enumerate(docs)}
+    out, done = [], set()
     for d, t in rows:
         key = (d, t or "")
-        again, _ = key in seen, seen.add(key)
+        again, _ = key in done, done.add(key)
         out.append((d, t, None if t is None else "" if again and total[key] >= words else new[key]))
     return sorted(out, key=str)
 
 
 def test_against_brute_force(spark):
     rng = random.Random(4)
-    for words in (6, 1):
-        pool = [" ".join(rng.choices("abcdefg", k=rng.choice([0, 1, 2, 3, 7, 9]))) for _ in range(14)]
-        rows = [(rng.randrange(10**6), "\n".join(rng.choices(pool, k=rng.randrange(1, 12)))) for _ in range(120)]
-        rows += [(10, " x  y z\nq r s t"), (11, "x y z\nq\tr s t "), (12, ""), (13, None), (None, "x y z\nq r s t"), (None, "x y z\nq r s t"), (14, "a b\n" * 40), (15, "a b\n" * 300)]
+    for words, seen in ((6, 6), (9, 4), (1, 25)):
+        pool = [" ".join(rng.choices(["a", "b", "c", "d", "e.", "f", "g"], k=rng.choice([0, 1, 2, 3, 7, 9]))) for _ in range(14)]
+        rows = [(rng.randrange(10**6), rng.choice(["\n", "\n", " ", "\n\n"]).join(rng.choices(pool, k=rng.randrange(1, 12)))) for _ in range(150)]
+        rows += [(10, " x  y z\nq r s t"), (11, "x y z\nq\tr s t "), (12, ""), (13, None), (None, "x y z\nq r s t"), (None, "x y z\nq r s t"), (14, "a b\n" * 40), (15, "a b\n" * 300), (16, " \n "), (17, "é ß. Ü! é ß. Ü! é ß. Ü! é ß")]
         rows += [rows[3], rows[3], (13, None)]
-        df = spark.createDataFrame([(d, t, "n", 1, 2) for d, t in rows], "doc_id long, text string, `row` string, copies int, place int").repartition(5)
-        got = L.dedup_lines(df, words).collect()
-        texts = {}
-        assert sorted(((r.row.doc_id, r.row.text) for r in got), key=str) == sorted(((d, n) for d, _, n in brute(rows, words)), key=str)
-        assert all(r.row.copies == 1 and r.row.row == "n" for r in got)
-        assert all(0 <= r.n_removed <= r.n_lines for r in got)
+        df = spark.createDataFrame([(d, t, "n", 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, `row` string, code int, runs int, id int, copy int").repartition(5)
+        got = L.dedup_lines(df, words, seen).collect()
+        assert sorted(((r.row.doc_id, r.row.text) for r in got), key=str) == sorted(((d, n) for d, _, n in brute(rows, words, seen)), key=str)
+        assert all(r.row.code == 1 and r.row.runs == 2 and r.row.row == "n" for r in got)
+        for r in got:
+            assert r.n_words - r.n_removed == len((r.row.text or "").split())
 
 
 def test_keeps_common_short_lines_and_first_copies(spark):
@@ -71,6 +103,16 @@ def test_keeps_common_short_lines_and_first_copies(spark):
         assert got[k] == (text if k not in (7, 9) else text.replace(passage + "\n", ""))
 
 
+def test_passage_within_a_line(spark):
+    """Its first sentence shares a line with other words; whole lines have fewer than 50 words of it."""
+    passage = " ".join(f"p{k}{'.' if k % 9 == 8 else ''}" for k in range(53)) + "."
+    rows = [(k, f"Own words come{k} {passage} after{k} it more {k} goes\non and{k} on.") for k in range(3)]
+    got = {r.row.doc_id: r.row.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: t if not k else t.replace(passage + " ", "") for k, t in rows}
+    few = [(k, t.replace("p9 ", f"q{k} ").replace("p30 ", f"r{k} ")) for k, t in rows]  # no 50 words in a row
+    assert {r.row.doc_id: r.row.text for r in L.dedup_lines(spark.createDataFrame(few, "doc_id long, text string")).collect()} == dict(few)
+
+
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -80,3 +122,29 @@ def test_end_of_a_passage_whose_beginning_came_earlier(spark):
     docs = spark.createDataFrame([(1, f"{long}\nfirst goes on"), (2, f"{long}\n{tail}\nsecond goes on"), (3, f"{long}\n{tail}\nthird goes on")], "doc_id long, text string")
     got = {r.row.doc_id: r.row.text for r in L.dedup_lines(docs).collect()}
     assert got == {1: f"{long}\nfirst goes on", 2: f"{tail}\nsecond goes on", 3: "third goes on"}
+
+
+def test_selects_minima_of_windows():
+    """Each window has a selected line, its least, and there are far fewer of these than windows."""
+    rng = np.random.default_rng(3)
+    sizes, hashes = rng.integers(1, 15, 5000).astype(np.int32), rng.integers(-(2**63), 2**63 - 1, 5000)
+    at = set(L.selected(hashes, sizes, 25).tolist())
+    starts, ends = L.windows(sizes, 25)
+    forth = [(a, b) for a, b in zip(starts, ends) if sizes[a : b - 1].sum() < 25]
+    assert all(a + int(hashes[a:b].argmin()) in at for a, b in forth) and at == {a + int(hashes[a:b].argmin()) for a, b in forth}
+    assert len(at) < 0.5 * len(forth) < len(starts)
+
+
+def test_a_long_text_of_equal_lines_takes_linear_time(spark):
+    df = spark.createDataFrame([(1, "same old line here\n" * 100_000), (2, "own words " * 60_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.row.doc_id: r.row.text for r in L.dedup_lines(df).collect()}
+    # the first window of 25 words, and of 50, are seven and thirteen lines; from line two on, all has occurred
+    assert got[1] == "same old line here" and got[2] == "own words " * 60_000
+    assert time.perf_counter() - began < 60
+
+
+def test_a_line_of_all_texts_is_spread(spark):
+    rows = [(k, f"The one line that every text has of its own accord and which is no passage by itself.\nown {k} " + " ".join(f"w{k}x{j}" for j in range(40))) for k in range(3000)]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
+    assert got.count() == 0

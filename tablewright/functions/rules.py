@@ -93,8 +93,8 @@ def boolean_rule(left: Column, right: Column, context: CompareContext) -> Column
 def numeric_rule(left: Column, right: Column, context: CompareContext) -> Column | None:
     """Numbers within ``abs_tol + rel_tol * |right|`` of each other. NaN equals NaN only, null null only.
 
-    Whole numbers without a tolerance are compared exactly; otherwise the distance is a double, in
-    which infinities of opposite sign lie within any tolerance.
+    Whole numbers without a tolerance are compared exactly; otherwise the distance is a double. A finite
+    number is never equal to an infinite one, but infinities of opposite sign lie within any tolerance.
     """
     a, b = context.left_type, context.right_type
     if not (isinstance(a, T.NumericType) and isinstance(b, T.NumericType)):
@@ -105,8 +105,10 @@ def numeric_rule(left: Column, right: Column, context: CompareContext) -> Column
     x, y = left.cast("double"), right.cast("double")
     near = F.abs(x - y) <= F.lit(float(context.abs_tol)) + F.lit(float(context.rel_tol)) * F.abs(y)
     if _is_float(a) or _is_float(b):
+        endless = F.lit(float("inf"))
+        one_endless = (F.abs(x) == endless) != (F.abs(y) == endless)
         # isnan of null is false
-        return F.when(F.isnan(x) & F.isnan(y), True).when(F.isnan(x) | F.isnan(y), False).when(same, True).when(near, True).otherwise(False)
+        return F.when(F.isnan(x) & F.isnan(y), True).when(F.isnan(x) | F.isnan(y), False).when(same, True).when(one_endless, False).when(near, True).otherwise(False)
     return F.when(same, True).when(near, True).otherwise(False)
 
 

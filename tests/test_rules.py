@@ -29,7 +29,8 @@ def matches(spark, left, right, pairs, **options):
 CASES = {
     "abs tolerance": ("double", "double", [(1.0, 1.0, True), (2.0, 2.1, True), (3.0, 4.0, False), (4.0, None, False), (None, 4.0, False), (None, None, True), (NAN, NAN, True), (NAN, 1.0, False), (NAN, None, False)], {"abs_tol": 0.2}),
     "relative tolerance is of the right side": ("double", "double", [(100.0, 110.0, True), (110.0, 100.0, False), (0.0, 0.0, True)], {"rel_tol": 0.095}),
-    "infinities": ("double", "double", [(INF, INF, True), (-INF, -INF, True), (-INF, INF, True), (INF, -INF, True), (1.0, 0.0, False), (INF, 1.0, False)], {}),
+    "infinities": ("double", "double", [(INF, INF, True), (-INF, -INF, True), (-INF, INF, True), (INF, -INF, True), (1.0, 0.0, False), (INF, 1.0, False), (1.0, INF, False), (1.0, -INF, False), (INF, None, False), (None, INF, False)], {}),
+    "infinities within a tolerance": ("double", "double", [(INF, INF, True), (-INF, INF, True), (INF, 1.0, False), (1.0, INF, False), (-INF, 1.0, False), (1.0, -INF, False)], {"abs_tol": 2.0, "rel_tol": 0.5}),
     "large longs are exact": ("bigint", "bigint", [(2**53, 2**53 + 1, False), (2**53 + 1, 2**53 + 1, True), (None, None, True), (1, None, False)], {}),
     "int and double": ("int", "double", [(1, 1.0, True), (1, 1.5, False), (None, NAN, False)], {}),
     "float and double": ("float", "double", [(0.5, 0.5, True), (NAN, NAN, True)], {}),

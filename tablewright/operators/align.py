@@ -7,7 +7,7 @@ key, which also spreads a hot key over the tasks.
 
 One window task numbers all rows of a key. Keys with more than ``HOT_ROWS`` rows on a side are numbered
 apart: their rows are range-sorted over the cluster, and a row's number is its position there less
-the first position of its key. There can't be many such keys, so they are broadcast.
+the first position of its key. Such keys are broadcast if there are at most ``HOT_KEYS``.
 
 The join is a full outer one only for outputs that need both sides' leftovers. Rows of one side
 alone come from an anti join, matched rows from an inner join, which Spark can broadcast or split
@@ -30,6 +30,8 @@ from .position import with_position
 
 #: Rows of a key on one side beyond which its rows aren't numbered in one task.
 HOT_ROWS = 1_000_000
+#: Hot keys that are broadcast, at most.
+HOT_KEYS = 10_000
 
 
 def quoted(name: str) -> Column:
@@ -37,7 +39,8 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _key(df: DataFrame, name: str, spec: CompareSpec) -> Column:
+def key_column(df: DataFrame, name: str, spec: CompareSpec) -> Column:
+    """A key as it is compared: trimmed if spaces are ignored."""
     c = quoted(name)
     if spec.ignore_spaces and _is_string(df.schema[name].dataType):
         return F.regexp_replace(c, _BLANKS, "") if spec.whitespace == "all" else F.trim(c)
@@ -56,7 +59,7 @@ def key_facts(left: DataFrame, right: DataFrame, spec: CompareSpec) -> KeyFacts:
     """One job over the key columns."""
     sides = []
     for df in (left, right):
-        keys = df.select(*[_key(df, k, spec).alias(f"k{n}") for n, k in enumerate(spec.keys)])
+        keys = df.select(*[key_column(df, k, spec).alias(f"k{n}") for n, k in enumerate(spec.keys)])
         names = keys.columns
         has_null = ~all_of([F.col(n).isNotNull() for n in names])
         counted = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
@@ -104,15 +107,16 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, hot
     if hot_rows is None:
         return plain(rows)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    # fewer keys than rows / hot_rows
-    hot = F.broadcast(counts.select(*[F.col(k).alias(f"h_{k}") for k in keys]))
+    few_keys = counts.limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    sent = F.broadcast if few_keys else lambda df: df  # without the hint, adaptive execution splits hot partitions
+    hot = sent(counts.select(*[F.col(k).alias(f"h_{k}") for k in keys]))
     same = all_of([F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys])
     cold = plain(rows.join(hot, same, "left_anti"))
     few = rows.join(hot, same, "left_semi")
     if not order:
         few, order = few.withColumn("_in", F.monotonically_increasing_id()), ["_in"]
     few = with_position(few, [*keys, *order], "_at")
-    first = F.broadcast(few.groupBy(*keys).agg(F.min("_at").alias("_first")).withColumnsRenamed({k: f"h_{k}" for k in keys}))
+    first = sent(few.groupBy(*keys).agg(F.min("_at").alias("_first")).withColumnsRenamed({k: f"h_{k}" for k in keys}))
     few = few.join(first, same).withColumn(name, (F.col("_at") - F.col("_first") + 1).cast("int"))
     return cold.unionByName(few.select(*cold.columns))
 
@@ -122,7 +126,7 @@ def _side(df: DataFrame, spec: CompareSpec, mark: str, common: tuple[str, ...],
     others = [c for c in df.columns if c not in places]
     places |= {c: f"{mark}x{n}" for n, c in enumerate(others)}
     keys = [f"{mark}k{n}" for n in range(len(spec.keys))]
-    columns = [(_key(df, c, spec) if c in spec.keys else quoted(c)).alias(places[c]) for c in df.columns]
+    columns = [(key_column(df, c, spec) if c in spec.keys else quoted(c)).alias(places[c]) for c in df.columns]
     rows = df.select(*columns, F.lit(True).alias("in_left" if mark == "l" else "in_right"))
     if facts.most > 1:
         order = [places[c] for c in spec.order_by if c in places]

@@ -8,6 +8,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+# fixed values: suffixes that name a format
 #: Formats by suffix. A .tsv file has to be given as csv with its delimiter.
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".jsonl": "json", ".ndjson": "json"}
 #: Suffixes of files with one JSON value in each line.

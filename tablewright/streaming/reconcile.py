@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.logic import all_of
+from ..operators.align import key_column
 from ..plans.comparison import Comparison, compare
 
 
@@ -19,15 +22,18 @@ def reconcile(stream: DataFrame, reference: DataFrame, keys: str | Sequence[str]
     """Start a query that calls ``report(comparison, batch_id)`` for each micro-batch of ``stream``.
 
     The batch is the left side. Before the comparison, the reference is cut to the batch's keys by a
-    semi join. ``options`` are those of ``compare``; ``checkpoint`` is the query's checkpoint folder.
+    semi join, in which keys agree as they do in the comparison: null with null, and trimmed if spaces
+    are ignored. ``options`` are those of ``compare``; ``checkpoint`` is the query's checkpoint folder.
     """
     if not stream.isStreaming or reference.isStreaming:
         raise ValueError("the first table must be a stream and the second must not")
     names = [keys] if isinstance(keys, str) else list(keys)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = reference.join(batch.select(*names).distinct(), names, "left_semi")
-        with compare(batch, known, names, **options) as comparison:
+        whole = compare(batch, reference, names, **options)
+        asked = whole.left.select(*[key_column(whole.left, k, whole.spec).alias(f"_asked_{n}") for n, k in enumerate(whole.keys)]).distinct()
+        same = all_of([key_column(whole.right, k, whole.spec).eqNullSafe(F.col(f"_asked_{n}")) for n, k in enumerate(whole.keys)])
+        with whole.with_right(whole.right.join(asked, same, "left_semi")) as comparison:
             report(comparison, batch_id)
 
     writer = stream.writeStream.foreachBatch(each)

@@ -13,7 +13,10 @@ from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from . import __version__
+from .operators import with_position
 from .plans.comparison import Comparison, compare
 from .sources import LoadError, load, open_session
 
@@ -79,7 +82,8 @@ OPTIONS = [
     Option("--left", "file, URI or catalog table of the left side", parse={"required": True}),
     Option("--right", "file, URI or catalog table of the right side", parse={"required": True}),
     Option("--on", "key columns, separated by commas; may be given again", parse={"type": _names, "action": "extend", "default": []}),
-    Option("--on-index", "refused: rows of a Spark table have no position", parse={"action": "store_true"}),
+    Option("--on-index", "match rows by their place in the order of --order-by", parse={"action": "store_true"}),
+    Option("--order-by", "columns that order the rows for --on-index, separated by commas", parse={"type": _names, "action": "extend", "default": []}),
     Option("--backend", "there is one", parse={"choices": ["spark"], "default": "spark"}),
     Option("--input-format", "format of both files; by default from the suffix", parse={"choices": ["csv", "parquet", "json"]}),
     Option("--csv-delimiter", r"one character, or \t", parse={"type": _delimiter, "default": ","}),
@@ -139,14 +143,27 @@ def _dataset_names(args: argparse.Namespace) -> tuple[str, str]:
 def _check(args: argparse.Namespace) -> None:
     if args.on_index and args.on:
         raise BadArguments("--on and --on-index exclude each other")
-    if args.on_index:
-        raise BadArguments("--on-index is not supported: add a position with tablewright.operators.with_position and name it with --on")
-    if not args.on:
-        raise BadArguments("--on is required")
+    if args.on_index != bool(args.order_by):
+        raise BadArguments("--on-index and --order-by go together: rows of a Spark table have no place of their own")
+    if not args.on and not args.on_index:
+        raise BadArguments("one of --on and --on-index is required")
     if args.ignore_unique_rows and args.max_unequal_rows is None:
         raise BadArguments("--ignore-unique-rows needs --max-unequal-rows")
 
 
+#: The key of rows that are matched by their place.
+PLACE = "position"
+
+
+def _placed(df: DataFrame, order_by: list[str]) -> DataFrame:
+    lower = {c.lower() for c in df.columns}
+    if unknown := [c for c in order_by if c.lower() not in lower]:
+        raise BadArguments(f"there is no column {unknown[0]!r} to order by")
+    if PLACE in lower:
+        raise BadArguments(f"--on-index needs the column name {PLACE!r} for itself")
+    return with_position(df, [f"`{c}`" for c in order_by], PLACE)
+
+
 def _passed(comparison: Comparison, args: argparse.Namespace) -> bool:
     if args.max_unequal_rows is None:
         return comparison.matches(args.ignore_extra_columns)
@@ -176,8 +193,10 @@ def run(args: argparse.Namespace) -> int:
     tolerance = {t: _one_or_each(getattr(args, t), "--" + t.replace("_", "-")) for t in ("abs_tol", "rel_tol")}
     with open_session(args.spark_app_name) as spark:
         left, right = (load(spark, ref, args.input_format, args.csv_delimiter) for ref in (args.left, args.right))
+        if args.on_index:
+            left, right = (_placed(df, args.order_by) for df in (left, right))
         try:
-            comparison = compare(left, right, args.on, left_name=names[0], right_name=names[1], spark=spark, **tolerance, **options)
+            comparison = compare(left, right, args.on or [PLACE], left_name=names[0], right_name=names[1], spark=spark, **tolerance, **options)
         except (ValueError, TypeError) as error:
             raise BadArguments(str(error)) from error
         with comparison:

@@ -14,6 +14,7 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.logic import all_of
@@ -76,6 +77,10 @@ class Comparison:
         self._kept: DataFrame | None = None
         self._hidden: tuple[str, ...] = ()
 
+    def with_right(self, right: DataFrame) -> Comparison:
+        """The same comparison with another right table."""
+        return Comparison(self.left, right, self.spec, self._cache)
+
     # ------------------------------------------------------------ columns
 
     @property
@@ -299,6 +304,50 @@ class Comparison:
         names = [f"{column} ({x})" for x in (a, b)] if for_display else [f"{column}_{x}" for x in (a, b)]
         return self._masked(rows.select(*self._left_keys(), F.col(f"l{place}").alias(names[0]), F.col(f"r{place}").alias(names[1])))
 
+    def samples(self, columns: Sequence[str], n: int = 10) -> dict[str, list[tuple]]:
+        """``sample(c, n)`` of each of ``columns`` that isn't a key, as rows of the keys and both values.
+
+        One pass over the common rows for all columns: an unequal cell is a row of its column's place,
+        the keys, and the two values in fields of their types; each task keeps the first ``n`` rows of a
+        column before anything is shuffled, and the driver gets ``n`` for each column at most.
+        """
+        columns = [c.lower() if self.spec.lower_names else c for c in columns]
+        if unknown := [c for c in columns if c not in self._aligned.common]:
+            raise ValueError(f"{unknown} are not compared columns")
+        places = {c: self._aligned.common.index(c) for c in columns}
+        kinds = {c: [df.schema[c].dataType for df in (self.left, self.right)] for c in columns}
+        types = list(dict.fromkeys(t for pair in kinds.values() for t in pair))
+
+        def cell(c: str) -> Column:
+            sides = zip("lr", kinds[c], strict=True)
+            held = [(F.col(f"{s}{places[c]}") if t == kind else F.lit(None).cast(t)).alias(f"{s}{k}") for s, kind in sides for k, t in enumerate(types)]
+            return F.when(~self._matches[places[c]], F.struct(F.lit(places[c]).alias("place"), *held))
+
+        if not columns or not n:
+            return {c: [] for c in columns}
+        keys = [F.col(f"lk{k}") for k in range(len(self.keys))]
+        order = keys + ([F.col("ln")] if self.has_duplicates else [])
+        cells = self._both().select(*order, F.explode(F.array_compact(F.array(*map(cell, columns)))).alias("cell"))
+        rank = F.row_number().over(W.partitionBy("cell.place").orderBy(*order))
+        found = cells.withColumn("rank", rank).where(F.col("rank") <= n).orderBy("cell.place", "rank").select(*keys, "cell").collect()
+        hidden = set(self._hidden)
+        out: dict[str, list[tuple]] = {c: [] for c in columns}
+        names = {place: c for c, place in places.items()}
+        for row in found:
+            c = names[row.cell.place]
+            values = [MASK if c in hidden else row.cell[f"{s}{types.index(t)}"] for s, t in zip("lr", kinds[c], strict=True)]
+            out[c].append((*[MASK if k in hidden else row[f"lk{j}"] for j, k in enumerate(self.keys)], *values))
+        return out
+
+    def unmatched_keys(self, n: int) -> DataFrame:
+        """The keys of the first ``n`` rows of one side only, by key."""
+        return self._unmatched_keys().orderBy(*[f"`{k}`" for k in self.keys]).limit(n)
+
+    def alone(self, side: str, n: int = 10, columns: int = 10) -> DataFrame:
+        """The first ``n`` rows, by key, of the "left" or "right" table only, and so many of its first columns."""
+        df = {"left": self.left_only, "right": self.right_only}[side]()
+        return df.orderBy(*[f"`{k}`" for k in self.keys]).limit(n).select(*[f"`{c}`" for c in df.columns[:columns]])
+
     # ------------------------------------------------------------ masking
 
     @property

@@ -5,7 +5,10 @@ Left and right tables are written once, in SQL that both engines read; ``{name}`
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import importlib.util
+import io
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 from .cli import main
 from .operators.position import with_position
 from .plans.comparison import Comparison, compare
-from .sources import load
+from .report import fixed_width_table
+from .sources import load, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +45,7 @@ NAMES_R = "SELECT CASE WHEN c_custkey % 3 = 0 THEN concat('  ', c_name, ' ') ELS
 #: Each pair of values that a number rule tells apart, as text: null, NaN, infinities, large and close ones.
 NUMBERS = """SELECT CAST(id AS INT) AS id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES (1, '1', '1'), (2, '2', '2.1'), (3, NULL, NULL), (4, NULL, '1'), (5, '1', NULL),
     (6, 'NaN', 'NaN'), (7, 'NaN', '1'), (8, '1', 'NaN'), (9, 'NaN', NULL), (10, 'Infinity', 'Infinity'), (11, '-Infinity', 'Infinity'), (12, 'Infinity', '-Infinity'), (13, 'Infinity', '1'),
-    (14, '1e300', '1.0000001e300'), (15, '0', '-0.0'), (16, '1000', '1000.4')) AS t(id, x, y)"""
+    (14, '1e300', '1.0000001e300'), (15, '0', '-0.0'), (16, '1000', '1000.4'), (17, '1', 'Infinity'), (18, '1', '-Infinity'), (19, '-Infinity', '1'), (20, 'Infinity', NULL), (21, NULL, 'Infinity')) AS t(id, x, y)"""
 MIXED = """SELECT CAST(id AS INT) AS id, a, b, CAST(a AS DECIMAL(20, 6)) AS d, CAST(b AS BIGINT) AS n FROM (VALUES (1, 1.5e0, 1e0), (2, 2e0, 2e0), (3, 1.3e0, 3e0), (4, 1.000003e0, 1e0), (5, CAST(NULL AS DOUBLE), 4e0), (6, 7e0, CAST(NULL AS DOUBLE))) AS t(id, a, b)"""
 
 
@@ -187,7 +191,7 @@ def numbers(spark: SparkSession, abs_tol: float, rel_tol: float) -> DataFrame:
 def numbers_sql(abs_tol: float, rel_tol: float) -> str:
     # infinities of opposite sign are equal, as in the engine: NaN is the highest number in both
     return f"""SELECT id, CASE WHEN isnan(x) AND isnan(y) THEN TRUE WHEN coalesce(isnan(x), FALSE) OR coalesce(isnan(y), FALSE) THEN FALSE WHEN x IS NOT DISTINCT FROM y THEN TRUE
-        WHEN x IS NULL OR y IS NULL THEN FALSE ELSE abs(x - y) <= CAST({abs_tol} AS DOUBLE) + CAST({rel_tol} AS DOUBLE) * abs(y) END AS v_match FROM ({NUMBERS})"""
+        WHEN x IS NULL OR y IS NULL THEN FALSE WHEN isinf(x) <> isinf(y) THEN FALSE ELSE abs(x - y) <= CAST({abs_tol} AS DOUBLE) + CAST({rel_tol} AS DOUBLE) * abs(y) END AS v_match FROM ({NUMBERS})"""
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,18 +230,203 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = orders(spark, sf_dir).report()
+    """The whole text, but for the samples, which ``report_samples`` has."""
+    text = orders(spark, sf_dir).report(sample_count=0)
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
 
 
+def report_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that the report's samples show, in its order."""
+    c = orders(spark, sf_dir)
+    found = c.samples(c.columns_with_mismatches(), 4)
+    rows = [(name, n, *map(str, r)) for name, some in found.items() for n, r in enumerate(some)]
+    return spark.createDataFrame(rows, "column string, n int, o_orderkey string, left_value string, right_value string")
+
+
+def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s.column, s.match_rate) for s in orders(spark, sf_dir).column_stats()], "column string, match_rate double")
+
+
+def column_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = orders(spark, sf_dir).report_data(sample_count=0).column_comparison
+    return spark.createDataFrame([(t.unequal_columns, t.equal_columns, t.unequal_values)], "unequal_columns long, equal_columns long, unequal_values long")
+
+
+def sorted_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = orders(spark, sf_dir).report_data(sample_count=0).mismatch_stats
+    return spark.createDataFrame([(n, s.column, s.unequal_cnt, m.has_samples) for n, s in enumerate(m.stats)], "n int, column string, unequal_cnt long, has_samples boolean")
+
+
+def json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the JSON report, read back from its text."""
+    d = json.loads(orders(spark, sf_dir).report_data(sample_count=0).to_json())
+    out = [(f"{part}.{k}", v) for part in ("column_summary", "row_summary", "column_comparison") for k, v in d[part].items() if isinstance(v, int) and not isinstance(v, bool)]
+    return spark.createDataFrame([*out, *[(f"{side}.{n}", v) for side in ("df1_shape", "df2_shape") for n, v in enumerate(d[side])]], "item string, n long")
+
+
+def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's frame, and that the text in it is escaped."""
+    whole = rows(spark, sf_dir, "SELECT o_orderkey, '<b>&' AS s FROM {orders}")
+    c = compare(whole, whole.withColumn("s", F.lit("x")), "o_orderkey", left_name="a<b", right_name="c")
+    page = c.report_data(sample_count=2).to_html()
+    return spark.createDataFrame([(page[:6], page[-7:], "a&lt;b" in page, "&lt;b&gt;&amp;" in page, "<b>" in page)], "head string, tail string, name boolean, cell boolean, raw boolean")
+
+
+def plain_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text tables, one with uneven rows, which is refused."""
+    try:
+        fixed_width_table(["a", "b"], [["x"]], "lr")
+        refused = "no"
+    except ValueError:
+        refused = "yes"
+    lines = [*fixed_width_table(["name", "n"], [["a", "1,000"], ["long one", 7]], "lr").split("\n"), *fixed_width_table(["a"], [], "l").split("\n"), refused]
+    return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+
+
+def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long names are cut in the report's table."""
+    side = lambda n: rows(spark, sf_dir, "SELECT n_nationkey, n_nationkey + {} AS a_column_of_twenty__x, n_nationkey + {} AS another_column_of_over_20 FROM {{nation}}".format(n, n))
+    text = compare(side(0), side(1), "n_nationkey").report(sample_count=0)
+    return spark.createDataFrame([(x.split("  ")[0],) for x in text.split("\n") if x.startswith("a")], "name string")
+
+
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names of either case, folded or kept."""
+    left, right = rows(spark, sf_dir, "SELECT n_nationkey AS ID, n_name AS Name FROM {nation}"), rows(spark, sf_dir, "SELECT n_nationkey AS Id, n_name AS name FROM {nation}")
+    folded = compare(left, right, "iD")
+    kept = compare(left, right.withColumnRenamed("Id", "ID"), "ID", lower_names=False)
+    out = [("folded", c.matches(), ",".join(c.common_columns()), ",".join(c.left_only_columns())) for c in [folded]]
+    out += [("kept", c.matches(), ",".join(c.common_columns()), ",".join(c.left_only_columns())) for c in [kept]]
+    return spark.createDataFrame(out, "names string, matches boolean, common string, left_only string")
+
+
+def revealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = orders(spark, sf_dir, left_name="a", right_name="b")
+    c.hide(["o_custkey"])
+    c.reveal()
+    return c.mismatches()
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused, and how."""
+    table = rows(spark, sf_dir, "SELECT * FROM {nation}")
+
+    def twice() -> None:
+        c = compare(table, table, "n_nationkey")
+        c.hide(["n_name"])
+        c.hide(["n_name"])
+
+    calls = {
+        "unknown sample": lambda: compare(table, table, "n_nationkey").sample("nope"),
+        "hidden twice": twice,
+        "hidden named twice": lambda: compare(table, table, "n_nationkey").hide(["n_name", "N_NAME"]),
+        "hidden number": lambda: compare(table, table, "n_nationkey").hide([1]),
+        "missing key": lambda: compare(table, table, "nope"),
+        "same names": lambda: compare(table, table, "n_nationkey", left_name="x", right_name="x"),
+        "negative tolerance": lambda: compare(table, table, "n_nationkey", abs_tol=-1),
+        "tolerance of text": lambda: compare(table, table, "n_nationkey", abs_tol="1"),
+        "no table": lambda: compare(table, [1], "n_nationkey"),
+        "unknown template": lambda: compare(table, table, "n_nationkey").report(template="no_such_template"),
+    }
+
+    def refused(call: Callable[[], object]) -> str:
+        try:
+            call()
+        except (ValueError, TypeError, FileNotFoundError, RuntimeError) as error:
+            return type(error).__name__
+        return "none"
+
+    return spark.createDataFrame([(name, refused(call)) for name, call in calls.items()], "call string, error string")
+
+
+def tolerant_rule(left, right, context):
+    """A user rule that reads its context: doubles within the column's tolerance, and a tenth more."""
+    if context.left_type.simpleString() == "double":
+        return F.abs(left - right) <= F.lit(context.abs_tol * 1.1)
+    return None
+
+
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as one JSON array over many lines, read and compared with the table it came from."""
+    table = rows(spark, sf_dir, "SELECT n_nationkey, n_name, n_regionkey FROM {nation}")
+    lines = [json.dumps(r.asDict()) for r in table.orderBy("n_nationkey").collect()]  # 25 nations at every scale
+    path = f"{_scratch(spark)}/nation.json"
+    spark.createDataFrame([("[\n" + ",\n".join(lines) + "\n]",)], "value string").coalesce(1).write.text(path)
+    c = compare(table, load(spark, path), "n_nationkey")
+    return spark.createDataFrame([(c.matches(), c.row_counts().common)], "matches boolean, common long")
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by names of one, two and three parts."""
+    name = f"tablewright_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{_scratch(spark)}'")
+    try:
+        spark.sql(f"CREATE TABLE {name}.a USING parquet LOCATION '{sf_dir}/customer.parquet'")
+        spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView(name)
+        out = []
+        for left, right in ((name, f"{name}.a"), (f"{name}.a", f"spark_catalog.{name}.a")):
+            c = compare(left, load(spark, right) if right.count(".") == 2 else right, "c_custkey", right_name="other", spark=spark)
+            out.append((left.count(".") + 1, right.count(".") + 1, c.spec.left_name == left.rsplit(".")[-1], c.matches(), c.row_counts().common))
+        return spark.createDataFrame(out, "left_parts int, right_parts int, named boolean, matches boolean, common long")
+    finally:
+        spark.catalog.dropTempView(name)
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def cli_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes by flags. The right side is a table with fewer rows and changed prices."""
+    folder = _scratch(spark)
+    left, right = f"{folder}/left.parquet", f"{folder}/right.csv"
+    rows(spark, sf_dir, "SELECT s_suppkey, s_name, s_acctbal FROM {supplier}").write.parquet(left)
+    rows(spark, sf_dir, "SELECT s_suppkey AS S_SUPPKEY, CASE WHEN s_suppkey = 3 THEN concat(' ', lower(s_name)) ELSE s_name END AS s_name, s_acctbal + 0.5e0 AS s_acctbal, 1 AS extra FROM {supplier} WHERE s_suppkey <> 7").write.option("sep", "|").option("header", True).csv(right)
+    base = ["--left", left, "--right", right, "--csv-delimiter", "|"]
+    one = [*base, "--on", "s_suppkey"]
+    loose = ["--ignore-extra-columns", "--abs-tol", "s_acctbal=0.6", "--ignore-spaces", "--ignore-case"]
+    calls = {
+        "plain": one,
+        "loose": [*one, *loose],
+        "loose, one row": [*one, *loose, "--max-unequal-rows", "1"],
+        "loose, unique ignored": [*one, *loose, "--max-unequal-rows", "0", "--ignore-unique-rows"],
+        "tight tolerance": [*one, "--ignore-extra-columns", "--abs-tol", "0.4", "--ignore-spaces", "--ignore-case", "--max-unequal-rows", "0", "--ignore-unique-rows"],
+        "relative tolerance": [*one, "--ignore-extra-columns", "--rel-tol", "1e9", "--ignore-spaces", "--ignore-case", "--max-unequal-rows", "0", "--ignore-unique-rows"],
+        "case kept": [*one, *loose, "--no-cast-column-names-lower"],
+        "wrong format": [*one, "--input-format", "parquet"],
+        "names": [*one, *loose, "--df1-name", "x", "--df2-name", "y", "--spark-app-name", "z", "--no-cache-intermediates", "--backend", "spark", "--max-unequal-rows", "1"],
+        "equal names": [*one, "--df1-name", "x", "--df2-name", "x"],
+        "by place": ["--left", left, "--right", left, "--on-index", "--order-by", "s_suppkey"],
+        "place without order": [*base, "--on-index"],
+        "key and place": [*one, "--on-index", "--order-by", "s_suppkey"],
+        "no key": base,
+        "mixed tolerances": [*one, "--abs-tol", "1", "--abs-tol", "s_acctbal=1"],
+        "unwritable": [*one, "--output", f"{sf_dir}/nation.parquet/x"],
+    }
+    quiet = io.StringIO()
+    with contextlib.redirect_stderr(quiet):
+        found = [(name, main(["compare", "--quiet", *argv])) for name, argv in calls.items()]
+    return spark.createDataFrame(found, "call string, exit_code int")
+
+
+def cli_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command prints in each format."""
+    argv = ["compare", "--left", f"{sf_dir}/nation.parquet", "--right", f"{sf_dir}/nation.parquet", "--on", "n_nationkey,n_name", "--sample-count", "1", "--column-count", "2"]
+    out = []
+    for kind in ("text", "json", "html"):
+        printed = io.StringIO()
+        with contextlib.redirect_stdout(printed):
+            code = main([*argv, "--report-format", kind])
+        text = printed.getvalue()
+        found = json.loads(text)["row_summary"]["common_rows"] if kind == "json" else int(text.split("rows in common: ")[1].split("\n")[0])
+        out.append((kind, code, found, "nation_1" in text and "nation_2" in text))
+    return spark.createDataFrame(out, "format string, exit_code int, common long, named boolean")
+
+
 def report_row_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = orders(spark, sf_dir).report_data(sample_count=2).to_dict()
     return spark.createDataFrame([(k, int(v)) for k, v in d["row_summary"].items() if k.endswith("rows") or k.endswith("unique")], "item string, n long")
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tablewright-")
-    return f"{folder.rstrip('/')}/files-{uuid.uuid4()}"
+    return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4()}"
 
 
 def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +447,13 @@ def cli_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, main(["compare", "--quiet", *argv])) for name, argv in calls.items()], "call string, exit_code int")
 
 
+def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a comparison that keeps its matched rows, after these have been used."""
+    with orders(spark, sf_dir, cache=True) as c:
+        c.mismatches().count()
+        return counts_frame(spark, c)
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables without a key, compared by position."""
     a = with_position(rows(spark, sf_dir, "SELECT c_acctbal, c_custkey FROM {customer}"), ["c_acctbal", "c_custkey"])
@@ -293,6 +489,75 @@ def _counted(with_: str, every: str) -> str:
     return f"{with_} SELECT {EQUAL_COUNTS} FROM (SELECT {COUNTS}, count(*) FILTER (WHERE in_l AND in_r AND {every}) AS equal_rows FROM j)"
 
 
+def text_table(headers: Sequence[str], source: str, align: str) -> str:
+    """SQL for (o, line) of a text table; ``source`` has strings c0, c1, ... and o, from 1, that orders them."""
+    names = [f"c{n}" for n in range(len(headers))]
+    every = f"SELECT 0 AS o, {', '.join(f'{chr(39)}{h}{chr(39)} AS {c}' for h, c in zip(headers, names, strict=True))} UNION ALL SELECT o, {', '.join(names)} FROM ({source})"
+    widths = ", ".join(f"max(length({c})) OVER () AS w_{c}" for c in names)
+    line = " || '  ' || ".join(f"{'rpad' if a == 'l' else 'lpad'}({c}, CAST(w_{c} AS INT), ' ')" for a, c in zip(align, names, strict=True))
+    dashes = " || '  ' || ".join(f"repeat('-', w_{c})" for c in names)
+    return f"SELECT CASE WHEN d THEN 0.5 ELSE o END AS o, CASE WHEN d THEN {dashes} ELSE rtrim({line}) END AS line FROM (SELECT *, {widths} FROM ({every})), (VALUES (FALSE), (TRUE)) AS v(d) WHERE NOT d OR o = 0"
+
+
+def _report_sql() -> str:
+    """The report of the orders comparison without samples; sections are numbered, and lines within them."""
+    counts, stats = _counted(ORDERS_J, EVERY_ORDER), orders_stats()
+    shapes = "SELECT 1 AS o, 'df1' AS c0, '6' AS c1, format('{:,}', common + left_only) AS c2 FROM counts UNION ALL SELECT 2, 'df2', '6', format('{:,}', common + right_only) FROM counts"
+    number = lambda c: f"printf('%.4f', {c})"
+    unequal = f"SELECT row_number() OVER (ORDER BY \"column\") AS o, \"column\" AS c0, dtype1 AS c1, dtype2 AS c2, format('{{:,}}', unequal_cnt) AS c3, {number('max_diff')} AS c4, format('{{:,}}', null_diff) AS c5, {number('rel_tol')} AS c6, {number('abs_tol')} AS c7 FROM stats WHERE NOT all_match"
+    told = lambda label, value, source="counts": f"SELECT '{label}: ' || format('{{:,}}', CAST({value} AS BIGINT)) FROM {source}"
+    fixed = lambda *lines: " UNION ALL ".join(f"SELECT {n} AS o, ({x if x.startswith('SELECT') else f'SELECT {chr(39)}{x}{chr(39)}'}) AS line" for n, x in enumerate(lines))
+    sections = [
+        ("Comparison", None),
+        ("DataFrame Summary", text_table(["DataFrame", "Columns", "Rows"], shapes, "lrr")),
+        ("Column Summary", fixed("Number of columns in common: 6", "Number of columns in df1 but not in df2: 0", "Number of columns in df2 but not in df1: 0")),
+        (
+            "Row Summary",
+            fixed(
+                "Matched on: o_orderkey", "Any duplicates on match values: No", "Default Absolute Tolerance: 0", "Default Relative Tolerance: 0",
+                told("Number of rows in common", "common"), told("Number of rows in df1 but not in df2", "left_only"), told("Number of rows in df2 but not in df1", "right_only"),
+                "", told("Number of rows with some compared columns unequal", "unequal_rows"), told("Number of rows with all compared columns equal", "equal_rows"),
+            ),
+        ),
+        (
+            "Column Comparison",
+            fixed(
+                told("Number of columns compared with some values unequal", "count(*) FILTER (WHERE unequal_cnt > 0)", "stats"),
+                told("Number of columns compared with all values equal", "count(*) FILTER (WHERE unequal_cnt = 0)", "stats"),
+                told("Total number of values which compare unequal", "sum(unequal_cnt)", "stats"),
+            ),
+        ),
+        ("Columns with Unequal Values or Types", text_table(["Column", "df1 dtype", "df2 dtype", "# Unequal", "Max Diff", "# Null Diff", "Rel Tol", "Abs Tol"], unequal, "lllrrrrr")),
+    ]
+    parts = []
+    for n, (title, body) in enumerate(sections):
+        parts.append(f"SELECT {n} AS s, o, line FROM (VALUES (-3, '{title}'), (-2, '{'-' * len(title)}'), (-1, '')) AS t(o, line)")
+        if body:
+            parts.append(f"SELECT {n}, o, line FROM ({body}) UNION ALL SELECT {n}, 1000, ''")
+    return f"WITH counts AS ({counts}), stats AS ({stats}) SELECT CAST(row_number() OVER (ORDER BY s, o) - 1 AS INT) AS n, line FROM ({' UNION ALL '.join(parts)})"
+
+
+REPORT_SQL = _report_sql()
+
+
+def _samples_sql() -> str:
+    found = []
+    for c in ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"):
+        match = near(c) if c == "o_totalprice" else equal(c)
+        text = lambda x: f"coalesce(CAST({x} AS VARCHAR), 'None')"
+        found.append(f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY l.o_orderkey) - 1 AS INT) AS n, CAST(l.o_orderkey AS VARCHAR) AS o_orderkey, {text(f'l.{c}')} AS left_value, {text(f'r.{c}')} AS right_value FROM j WHERE in_l AND in_r AND NOT ({match}) QUALIFY n < 4")
+    return f"{ORDERS_J} {' UNION ALL '.join(found)}"
+
+
+SAMPLES_SQL = _samples_sql()
+JSON_SQL = f"""WITH counts AS ({_counted(ORDERS_J, EVERY_ORDER)}), stats AS ({orders_stats()}) SELECT item, n FROM (
+    SELECT 'row_summary.common_rows' AS item, common AS n FROM counts UNION ALL SELECT 'row_summary.df1_unique', left_only FROM counts UNION ALL SELECT 'row_summary.df2_unique', right_only FROM counts
+    UNION ALL SELECT 'row_summary.unequal_rows', unequal_rows FROM counts UNION ALL SELECT 'row_summary.equal_rows', equal_rows FROM counts
+    UNION ALL SELECT 'column_summary.common_columns', 6 UNION ALL SELECT 'column_summary.df1_unique', 0 UNION ALL SELECT 'column_summary.df2_unique', 0
+    UNION ALL SELECT 'column_comparison.unequal_columns', count(*) FILTER (WHERE unequal_cnt > 0) FROM stats UNION ALL SELECT 'column_comparison.equal_columns', count(*) FILTER (WHERE unequal_cnt = 0) FROM stats
+    UNION ALL SELECT 'column_comparison.unequal_values', CAST(sum(unequal_cnt) AS BIGINT) FROM stats
+    UNION ALL SELECT 'df1_shape.0', common + left_only FROM counts UNION ALL SELECT 'df1_shape.1', 6 UNION ALL SELECT 'df2_shape.0', common + right_only FROM counts UNION ALL SELECT 'df2_shape.1', 6)"""
+
 #: Name: (query, SQL or None).
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "column_stats_basic": (lambda s, d: orders(s, d).column_stats_frame(), orders_stats()),
@@ -427,7 +692,42 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
         report_row_summary,
         f"SELECT item, n FROM ({_counted(ORDERS_J, EVERY_ORDER)}) UNPIVOT (n FOR item IN (common AS 'common_rows', left_only AS 'df1_unique', right_only AS 'df2_unique', unequal_rows AS 'unequal_rows', equal_rows AS 'equal_rows'))",
     ),
-    "report_lines": (report_lines, None),
+    "report_lines": (report_lines, REPORT_SQL),
+    "report_samples": (report_samples, SAMPLES_SQL),
+    "match_rates": (match_rates, f'SELECT "column", match_cnt / (match_cnt + unequal_cnt) AS match_rate FROM ({orders_stats()})'),
+    "column_totals": (column_totals, f"SELECT count(*) FILTER (WHERE unequal_cnt > 0) AS unequal_columns, count(*) FILTER (WHERE unequal_cnt = 0) AS equal_columns, CAST(sum(unequal_cnt) AS BIGINT) AS unequal_values FROM ({orders_stats()})"),
+    "sorted_mismatch_stats": (sorted_stats, f'SELECT CAST(row_number() OVER (ORDER BY "column") - 1 AS INT) AS n, "column", unequal_cnt, FALSE AS has_samples FROM ({orders_stats()}) WHERE NOT all_match'),
+    "display_sample": (
+        lambda s, d: orders(s, d).sample("o_orderstatus", 6, for_display=True),
+        _both_sql(ORDERS_L, ORDERS_R, ["o_orderkey"], 'l.o_orderkey, l.o_orderstatus AS "o_orderstatus (df1)", r.o_orderstatus AS "o_orderstatus (df2)"', f"AND NOT ({equal('o_orderstatus')}) ORDER BY 1 LIMIT 6"),
+    ),
+    "first_rows_and_columns": (lambda s, d: orders(s, d).alone("right", 5, 3), f"{_anti(ORDERS_R, ORDERS_L, 'o_orderkey, o_custkey, o_orderstatus')} ORDER BY 1 LIMIT 5"),
+    "json_report": (json_summary, JSON_SQL),
+    "html_report": (html_page, "SELECT '<html>' AS head, '</html>' AS tail, TRUE AS name, TRUE AS cell, FALSE AS raw"),
+    "text_tables": (
+        plain_tables,
+        "SELECT * FROM (VALUES (CAST(0 AS INT), 'name          n'), (1, '--------  -----'), (2, 'a         1,000'), (3, 'long one      7'), (4, 'a'), (5, '-'), (6, 'yes')) AS t(n, line)",
+    ),
+    "report_long_names": (long_names, "SELECT * FROM (VALUES ('a_column_of_twenty__x'[:17] || '...'), ('another_column_of...')) AS t(name)"),
+    "lower_case_names": (renamed, "SELECT * FROM (VALUES ('folded', TRUE, 'id,name', ''), ('kept', FALSE, 'ID', 'Name')) AS t(names, matches, common, left_only)"),
+    "revealed_rows": (revealed, _both_sql(ORDERS_L, ORDERS_R, ["o_orderkey"], "l.o_orderkey, " + PAIRS, f"AND NOT ({EVERY_ORDER})")),
+    "refusals": (
+        refusals,
+        "SELECT * FROM (VALUES ('unknown sample', 'ValueError'), ('hidden twice', 'ValueError'), ('hidden named twice', 'ValueError'), ('hidden number', 'TypeError'), ('missing key', 'ValueError'), ('same names', 'ValueError'), ('negative tolerance', 'ValueError'), ('tolerance of text', 'TypeError'), ('no table', 'TypeError')) AS t(call, error) UNION ALL SELECT 'unknown template', "
+        + f"'{'FileNotFoundError' if importlib.util.find_spec('jinja2') else 'RuntimeError'}'",
+    ),
+    "custom_rule_context": (
+        lambda s, d: orders(s, d, left_name="a", right_name="b", abs_tol={"o_totalprice": 0.46}, rules=[tolerant_rule]).matched().select("o_orderkey_a", "o_totalprice_match"),
+        _both_sql(ORDERS_L, ORDERS_R, ["o_orderkey"], "l.o_orderkey AS o_orderkey_a, abs(l.o_totalprice - r.o_totalprice) <= 0.46e0 * 1.1e0 AS o_totalprice_match"),
+    ),
+    "json_document": (json_document, "SELECT TRUE AS matches, count(*) AS common FROM nation"),
+    "catalog_tables": (catalog_tables, "SELECT CAST(p AS INT) AS left_parts, CAST(q AS INT) AS right_parts, TRUE AS named, TRUE AS matches, (SELECT count(*) FROM customer) AS common FROM (VALUES (1, 2), (2, 3)) AS t(p, q)"),
+    "cached_rows": (cached, _counted(ORDERS_J, EVERY_ORDER)),
+    "cli_flags": (
+        cli_flags,
+        "SELECT * FROM (VALUES ('plain', CAST(1 AS INT)), ('loose', 1), ('loose, one row', 0), ('loose, unique ignored', 0), ('tight tolerance', 1), ('relative tolerance', 0), ('case kept', 2), ('wrong format', 2), ('names', 0), ('equal names', 2), ('by place', 0), ('place without order', 2), ('key and place', 2), ('no key', 2), ('mixed tolerances', 2), ('unwritable', 2)) AS t(call, exit_code)",
+    ),
+    "cli_output": (cli_output, "SELECT k AS format, CAST(0 AS INT) AS exit_code, (SELECT count(*) FROM nation) AS common, TRUE AS named FROM (VALUES ('text'), ('json'), ('html')) AS t(k)"),
     "file_round_trip": (file_round_trip, "SELECT f AS format, TRUE AS matches, (SELECT count(*) FROM customer) AS common FROM (VALUES ('csv'), ('parquet'), ('jsonl'), ('pq')) AS t(f)"),
     "cli_exit_codes": (cli_exit_codes, "SELECT * FROM (VALUES ('same', CAST(0 AS INT)), ('bad key', 2), ('missing file', 2)) AS t(call, exit_code)"),
     "position_key": (

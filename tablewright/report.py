@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass
 from pathlib import Path
 from typing import TYPE_CHECKING, Any
 
+import pandas
+
 if TYPE_CHECKING:
     from pyspark.sql import DataFrame
 
@@ -20,7 +22,7 @@ if TYPE_CHECKING:
 
 
 @dataclass(frozen=True)
-class ColumnSummary:
+class ColumnCounts:
     common_columns: int
     df1_unique: int
     df1_unique_columns: tuple[str, ...]
@@ -31,7 +33,7 @@ class ColumnSummary:
 
 
 @dataclass(frozen=True)
-class RowSummary:
+class RowFacts:
     match_columns: tuple[str, ...]
     on_index: bool
     has_duplicates: bool
@@ -47,14 +49,14 @@ class RowSummary:
 
 
 @dataclass(frozen=True)
-class ColumnComparison:
+class ColumnTotals:
     unequal_columns: int
     equal_columns: int
     unequal_values: int
 
 
 @dataclass(frozen=True)
-class MismatchStat:
+class UnequalColumn:
     column: str
     dtype1: str
     dtype2: str
@@ -66,17 +68,17 @@ class MismatchStat:
 
 
 @dataclass(frozen=True)
-class MismatchStats:
+class UnequalColumns:
     has_mismatches: bool
     has_samples: bool
-    stats: tuple[MismatchStat, ...] = ()
+    stats: tuple[UnequalColumn, ...] = ()
     samples: tuple[str, ...] = ()
     df1_name: str = ""
     df2_name: str = ""
 
 
 @dataclass(frozen=True)
-class UniqueRowsData:
+class OneSidedRows:
     has_rows: bool
     rows: str = ""
 
@@ -90,12 +92,12 @@ class ReportData:
     df1_shape: tuple[int, int]
     df2_shape: tuple[int, int]
     column_count: int
-    column_summary: ColumnSummary
-    row_summary: RowSummary
-    column_comparison: ColumnComparison
-    mismatch_stats: MismatchStats
-    df1_unique_rows: UniqueRowsData
-    df2_unique_rows: UniqueRowsData
+    column_summary: ColumnCounts
+    row_summary: RowFacts
+    column_comparison: ColumnTotals
+    mismatch_stats: UnequalColumns
+    df1_unique_rows: OneSidedRows
+    df2_unique_rows: OneSidedRows
 
     def render(self, template: str | None = None) -> str:
         """As text; ``template`` is the path of a Jinja2 template that gets the members by name."""
@@ -140,24 +142,31 @@ def frame_text(df: DataFrame, n: int) -> str:
     return df.limit(n).toPandas().to_string()
 
 
+def rows_text(names: Sequence[str], rows: Sequence[Sequence[object]]) -> str:
+    """Rows that the driver has as a text table."""
+    return pandas.DataFrame.from_records([tuple(r) for r in rows], columns=list(names)).to_string()
+
+
 def build(comparison: Comparison, sample_count: int = 10, column_count: int = 10) -> ReportData:
-    """The model: one aggregate, and a small ordered sample for each unequal column and side."""
+    """The model: one aggregate, one ordered sample for all unequal columns, and one for each side. The
+    number of jobs doesn't grow with that of the columns."""
     a, b = comparison.spec.left_name, comparison.spec.right_name
     rows, stats = comparison.row_counts(), comparison.column_stats()
     left_extra, right_extra = tuple(comparison.left_only_columns()), tuple(comparison.right_only_columns())
     shown = [s for s in stats if not s.all_match]
-    samples = tuple(frame_text(comparison.sample(s.column, sample_count, for_display=True), sample_count) for s in shown if s.unequal_cnt and sample_count)
-    mismatch = MismatchStats(False, False)
+    unequal = [s.column for s in shown if s.unequal_cnt and sample_count]
+    keys = comparison.keys
+    found = comparison.samples([c for c in unequal if c not in keys], sample_count)
+    one_sided = [tuple(r) for r in comparison.unmatched_keys(sample_count).collect()] if set(unequal) & set(keys) else []
+    samples = tuple(rows_text([c], [(r[keys.index(c)],) for r in one_sided]) if c in keys else rows_text([*keys, f"{c} ({a})", f"{c} ({b})"], found[c]) for c in unequal)
+    mismatch = UnequalColumns(False, False)
     if shown:
-        lines = [MismatchStat(s.column, s.dtype1, s.dtype2, s.unequal_cnt, s.max_diff, s.null_diff, s.rel_tol, s.abs_tol) for s in shown]
-        mismatch = MismatchStats(True, bool(samples), tuple(sorted(lines, key=lambda s: s.column)), samples, a, b)
+        lines = [UnequalColumn(s.column, s.dtype1, s.dtype2, s.unequal_cnt, s.max_diff, s.null_diff, s.rel_tol, s.abs_tol) for s in shown]
+        mismatch = UnequalColumns(True, bool(samples), tuple(sorted(lines, key=lambda s: s.column)), samples, a, b)
 
-    def alone(df: DataFrame, n: int) -> UniqueRowsData:
+    def alone(side: str, n: int) -> OneSidedRows:
         n = min(n, sample_count)
-        if not n:
-            return UniqueRowsData(False)
-        ordered = df.orderBy(*[f"`{k}`" for k in comparison.keys])
-        return UniqueRowsData(True, frame_text(ordered.select(*[f"`{c}`" for c in df.columns[:column_count]]), n))
+        return OneSidedRows(True, frame_text(comparison.alone(side, n, column_count), n)) if n else OneSidedRows(False)
 
     def told(tol: dict[str, float]) -> Any:
         return f"{tol['default']:g}" if len(tol) == 1 else dict(tol)
@@ -167,12 +176,12 @@ def build(comparison: Comparison, sample_count: int = 10, column_count: int = 10
         b,
         *comparison.shapes(),
         column_count,
-        ColumnSummary(len(stats), len(left_extra), left_extra, len(right_extra), right_extra, a, b),
-        RowSummary(tuple(comparison.keys), False, comparison.has_duplicates, told(comparison.spec.abs_tol), told(comparison.spec.rel_tol), rows.common, rows.left_only, rows.right_only, rows.unequal, rows.equal, a, b),
-        ColumnComparison(sum(s.unequal_cnt > 0 for s in stats), sum(s.unequal_cnt == 0 for s in stats), sum(s.unequal_cnt for s in stats)),
+        ColumnCounts(len(stats), len(left_extra), left_extra, len(right_extra), right_extra, a, b),
+        RowFacts(tuple(comparison.keys), False, comparison.has_duplicates, told(comparison.spec.abs_tol), told(comparison.spec.rel_tol), rows.common, rows.left_only, rows.right_only, rows.unequal, rows.equal, a, b),
+        ColumnTotals(sum(s.unequal_cnt > 0 for s in stats), sum(s.unequal_cnt == 0 for s in stats), sum(s.unequal_cnt for s in stats)),
         mismatch,
-        alone(comparison.left_only(), rows.left_only),
-        alone(comparison.right_only(), rows.right_only),
+        alone("left", rows.left_only),
+        alone("right", rows.right_only),
     )
 
 
@@ -226,14 +235,28 @@ def _text(d: ReportData) -> str:
     return "\n".join(out)
 
 
+#: Where templates named without a folder are looked for, after the working folder.
+TEMPLATES = Path(__file__).parent / "templates"
+
+
+def find_template(name: str) -> Path:
+    """The file of a template: an absolute path, or one below the working folder or ``TEMPLATES``, as given,
+    or with or without the suffix .j2."""
+    given = Path(name)
+    other = given.with_suffix("") if given.suffix == ".j2" else given.with_name(f"{given.name}.j2")
+    for folder in (Path("/"),) if given.is_absolute() else (Path.cwd(), TEMPLATES):
+        for path in (folder / given, folder / other):
+            if path.is_file():
+                return path
+    raise FileNotFoundError(f"there is no template {name}")
+
+
 def _from_template(data: ReportData, template: str) -> str:
     try:
         import jinja2
     except ImportError as error:
         raise RuntimeError("templates need the jinja2 package") from error
-    path = Path(template)
-    if not path.is_file():
-        raise FileNotFoundError(f"there is no template {template}")
+    path = find_template(template)
     env = jinja2.Environment(loader=jinja2.FileSystemLoader(path.parent), autoescape=jinja2.select_autoescape(), trim_blocks=True, lstrip_blocks=True, extensions=["jinja2.ext.do"])
     env.globals["fixed_width_table"] = fixed_width_table
     return env.get_template(path.name).render(**data.to_dict())

@@ -227,3 +227,43 @@ def test_stream_batches(spark, tmp_path, accounts):
     assert [(n, r.common, r.left_only, r.right_only) for n, r in seen] == [(0, 5, 1, 0)]
     with pytest.raises(ValueError):
         reconcile(left, right, "acct_id", print)
+
+
+def test_stream_keys_agree_as_in_the_comparison(spark, tmp_path):
+    """Null keys, and keys that are equal once trimmed, aren't lost before a batch is compared."""
+    schema = "K string, n int, v double"
+    left = spark.createDataFrame([("a", 1, 1.0), (None, 2, 2.0), (" b ", 3, 3.0), ("c", None, 4.0), ("x", 9, 9.0)], schema)
+    right = spark.createDataFrame([("a ", 1, 1.0), (None, 2, 2.0), ("b", 3, 3.0), ("c", None, 4.0), ("y", 8, 8.0)], schema.lower())
+    left.coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    query = reconcile(spark.readStream.schema(left.schema).parquet(f"{tmp_path}/in"), right, ["k", "N"], lambda c, n: seen.append(c.row_counts()), ignore_spaces=True)
+    query.processAllAvailable()
+    query.stop()
+    whole = compare(left, right.where("k <> 'y' or k is null"), ["k", "n"], ignore_spaces=True).row_counts()
+    assert seen == [whole] and (whole.common, whole.left_only, whole.right_only, whole.unequal) == (4, 1, 0, 0)
+
+
+def test_samples_in_one_pass(spark):
+    """``samples`` are those of ``sample``, whatever the types, and the jobs don't grow with the columns."""
+    n = 30
+    cols = ", ".join(f"id * {k} as c{k}, cast(id + {k} as string) as s{k}, cast(id as double) / {k + 1} as d{k}" for k in range(n))
+    left = spark.range(200).selectExpr("id", *cols.split(", "))
+    right = left.select("id", *[F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col(c)).alias(c) for c in left.columns[1:]])
+    c = compare(left, right, "id", unique_keys=True)
+    found = c.samples(["c1", "s2", "d3", "C4"], 5)
+    for name, got in found.items():
+        assert got == [tuple(r) for r in c.sample(name, 5).collect()]
+    assert c.samples([], 5) == {} and c.samples(["c1"], 0) == {"c1": []}
+    with pytest.raises(ValueError):
+        c.samples(["id"])
+
+    def jobs(columns):
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"report-{len(columns)}", "")
+        compare(left.select("id", *columns), right.select("id", *columns), "id", unique_keys=True).report()
+        return len(tracker.getJobIdsForGroup(f"report-{len(columns)}"))
+
+    assert jobs(left.columns[1:3]) == jobs(left.columns[1:])
+    hidden = compare(left, right, "id", unique_keys=True)
+    hidden.hide(["c1", "id"])
+    assert hidden.samples(["c1"], 1) == {"c1": [("*******",) * 3]}

@@ -1,11 +1,17 @@
 import dataclasses
+import importlib.util
 import json
+import re
+import sys
+import types
+from pathlib import Path
 
 import pytest
-from tablewright import compare
+from tablewright import compare, report
 from tablewright.cli import main
 from tablewright.report import fixed_width_table
 
+# fixed value: the text format that others read
 GOLDEN = """Comparison
 ----------
 
@@ -86,10 +92,67 @@ def test_model(pair, tmp_path):
     assert "<pre>Comparison" in (tmp_path / "c.html").read_text()
 
 
-def test_template(pair, tmp_path):
-    pytest.importorskip("jinja2")
-    (tmp_path / "t.j2").write_text("{{ df1_name }} {{ row_summary.common_rows }}")
-    assert compare(*pair, "id").report(template=str(tmp_path / "t.j2")) == "df1 3"
+class FakeJinja:
+    """As much of jinja2 as reports use: ``{{ path }}`` and calls of fixed_width_table without arguments in between."""
+
+    def __init__(self, folder):
+        self.folder, self.globals = folder, {}
+
+    def get_template(self, name):
+        text, outer = (Path(self.folder) / name).read_text(), self
+
+        class Template:
+            def render(self, **data):
+                return re.sub(r"{{ (.+?) }}", lambda m: str(eval(m[1].replace(".", "_dot_"), {}, {**outer.globals, **flat(data)})), text)
+
+        return Template()
+
+
+def flat(data, at=""):
+    out = {}
+    for k, v in data.items():
+        out[at + k] = v
+        if isinstance(v, dict):
+            out |= flat(v, f"{at}{k}_dot_")
+    return out
+
+
+@pytest.fixture
+def jinja(monkeypatch):
+    """jinja2 itself if it is there, otherwise a stand-in that records how it is set up."""
+    if importlib.util.find_spec("jinja2"):
+        return None
+    seen = {}
+
+    def environment(loader, **options):
+        seen.update(options)
+        return FakeJinja(loader)
+
+    monkeypatch.setitem(sys.modules, "jinja2", types.SimpleNamespace(Environment=environment, FileSystemLoader=lambda folder: folder, select_autoescape=lambda: "chosen"))
+    return seen
+
+
+def test_template(pair, tmp_path, jinja, monkeypatch):
+    (tmp_path / "t.j2").write_text("{{ df1_name }} {{ row_summary.common_rows }} {{ fixed_width_table(['x'], [], 'l') }}")
+    (tmp_path / "plain").write_text("{{ df2_name }}")
+    told = lambda name: compare(*pair, "id").report(template=str(name))
+    assert told(tmp_path / "t.j2") == told(tmp_path / "t") == "df1 3 x\n-"
+    assert told(tmp_path / "plain") == told(tmp_path / "plain.j2") == "df2"
+    monkeypatch.chdir(tmp_path)
+    assert told("t") == told("t.j2") == "df1 3 x\n-"
+    monkeypatch.chdir("/")
+    monkeypatch.setattr(report, "TEMPLATES", tmp_path)
+    assert told("t") == "df1 3 x\n-"
+    with pytest.raises(FileNotFoundError):
+        told("missing")
+    if jinja:
+        assert jinja == {"autoescape": "chosen", "trim_blocks": True, "lstrip_blocks": True, "extensions": ["jinja2.ext.do"]}
+
+
+def test_template_without_jinja(pair, tmp_path, monkeypatch):
+    monkeypatch.setitem(sys.modules, "jinja2", None)
+    with pytest.raises(RuntimeError, match="jinja2"):
+        compare(*pair, "id").report(template=str(tmp_path / "t.j2"))
 
 
 def test_long_names_and_sections(spark):
@@ -151,7 +214,7 @@ def test_delimiter_and_tolerance(files):
     assert call(files, "left.csv", "right.csv", *loose, "--abs-tol", "amount=10") == 0 and call(files, "left.csv", "right.csv", *loose, "--abs-tol", "0.1") == 1
 
 
-@pytest.mark.parametrize("more", [["--on-index"], ["--abs-tol", "1", "--abs-tol", "amount=2"], ["--abs-tol", "1", "--abs-tol", "2"], ["--ignore-unique-rows"], ["--df1-name", "x", "--df2-name", "x"]])
+@pytest.mark.parametrize("more", [["--on-index"], ["--order-by", "id"], ["--abs-tol", "1", "--abs-tol", "amount=2"], ["--abs-tol", "1", "--abs-tol", "2"], ["--ignore-unique-rows"], ["--df1-name", "x", "--df2-name", "x"]])
 def test_bad_combinations(files, more, capsys):
     assert call(files, "left.csv", "right.csv", *more) == 2 and "tablewright:" in capsys.readouterr().err
 
@@ -163,3 +226,11 @@ def test_bad_inputs(files):
     for bad in (["--sample-count", "-1"], ["--csv-delimiter", "ab"], ["--abs-tol", "-1"], ["--abs-tol", "x"]):
         with pytest.raises(SystemExit):
             call(files, "left.csv", "left.csv", *bad)
+
+
+def test_on_index(files, capsys):
+    argv = ["compare", "--left", str(files / "left.csv"), "--right", str(files / "right.csv"), "--on-index"]
+    assert main([*argv, "--order-by", "id,name"]) == 1
+    assert "Number of rows in common: 3" in (text := capsys.readouterr().out) and "Matched on: position" in text
+    assert main([*argv[:4], str(files / "left.csv"), "--on-index", "--order-by", "ID", "--quiet"]) == 0
+    assert main([*argv, "--order-by", "nope"]) == 2 and "order by" in capsys.readouterr().err

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, lean
@@ -328,7 +329,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cell: int =
     cutup = cut(pieces(docs, tokenizer, capacity)).withColumn("uid", F.monotonically_increasing_id())
     full = cutup.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = cutup.where(F.col("length") < capacity).select("uid", F.col("length").alias("size"))
-    settled, n, before = [], items.count(), None
+    settled, n = [], items.count()
     for turn in range(rounds):
         if not n:
             break
@@ -343,8 +344,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cell: int =
         n = items.count()
     placed = full
     for part in settled:
-        before = F.array_sort(F.collect_list(F.struct("uid", "size")))
-        groups = part.groupBy("sequence_id").agg(before.alias("x")).select("sequence_id", F.posexplode("x").alias("i", "item"), F.col("x.size").alias("sizes"))
-        offset = F.aggregate(F.slice("sizes", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, b: a + b)
-        placed = placed.unionByName(groups.select(F.col("item.uid").alias("uid"), "sequence_id", offset.alias("offset")))
+        # a sequence has no more pieces than tokens
+        before = W.partitionBy("sequence_id").orderBy("uid").rowsBetween(W.unboundedPreceding, -1)
+        placed = placed.unionByName(part.select("uid", "sequence_id", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("offset")))
     return cutup.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

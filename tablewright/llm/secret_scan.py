@@ -2,9 +2,10 @@
 
 Every version of every path is addressed by its content: the SHA-256 of the text names the blob. A
 ledger, a Parquet table, has a row for each pair of a blob and a version of a rule that has been
-scanned, with the spans found, also if there are none. A scan reads the texts of those blobs only
-for which the ledger lacks a current rule, each blob once however many paths hold it, and for the
-rules it lacks; it appends what it finds, and joins the ledger back to all paths.
+scanned, with the spans found, also if there are none. A scan hashes all texts where they are, and asks
+the ledger with the hashes alone. Only the texts of blobs for which it lacks a current rule are moved
+and scanned, each once however many paths hold it, and for the rules it lacks; what is found is
+appended. Of the ledger, what belongs to the current blobs is joined back to all paths.
 
 Matching uses built-in expressions. The places of matches follow from the lengths of the matches
 and of what is between them, summed in a window over the blob's matches.
@@ -21,8 +22,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint_folder, cut, removed
+from .common import checkpoint_folder, cut, removed, small_join
 
 
 @dataclass(frozen=True)
@@ -106,17 +108,29 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -> Dat
     spark = versions.sparkSession
     names = [f"{r.kind}:{r.version}" for r in rules]
     current = F.concat_ws(":", "kind", "version").isin(names)
-    blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = [f"`{f.name}`" for f in versions.schema if f.name != "text" and isinstance(f.dataType, T.NumericType | T.StringType)]
+    row = F.xxhash64(*plain) if plain else F.lit(0)
+    blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
+    past = _ledger(spark, ledger).where(current)
+    if first := past.isEmpty():
+        unseen = blobs.withColumn("lacks", F.array(*[F.lit(n) for n in names]))
+    else:
+        # hashes only, a row for each blob
+        now = cut(blobs.select("blob").distinct())
+        known = past.join(now, "blob", "left_semi").groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("has"))
+        every = F.array(*[F.lit(n) for n in names])
+        lacking = now.join(known, "blob", "left").withColumn("lacks", F.array_except(every, F.coalesce("has", F.array().cast("array<string>"))))
+        lacking = cut(lacking.where(F.size("lacks") > 0).select("blob", "lacks"))
+        unseen = small_join(blobs, lacking, "blob", ["row"])
     # copies meet before the shuffle
-    texts = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    known = _ledger(spark, ledger).where(current).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("has"))
-    every = F.array(*[F.lit(n) for n in names])
-    texts = texts.join(known, "blob", "left").withColumn("lacks", F.array_except(every, F.coalesce("has", F.array().cast("array<string>"))))
-    _scan(texts.where(F.size("lacks") > 0).select("blob", "text", "lacks"), rules).write.mode("append").parquet(ledger)
+    texts = unseen.groupBy("blob").agg(F.first("text").alias("text"), F.first("lacks").alias("lacks"))
+    _scan(texts.select("blob", "text", "lacks"), rules).write.mode("append").parquet(ledger)
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
-    rows = _ledger(spark, ledger).where(current).dropDuplicates(["blob", "kind"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("findings"))
-    return rows
+    rows = _ledger(spark, ledger).where(current)
+    if not first:
+        rows = rows.join(now, "blob", "left_semi")
+    return rows.dropDuplicates(["blob", "kind"]).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("findings"))
 
 
 def _is(kind: str):

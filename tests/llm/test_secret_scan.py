@@ -62,5 +62,33 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert [r.spans for r in S.find_secrets(more, ledger, (rule,)).orderBy("doc_id").collect()] == ["word:0:7", "word:0:3,hex:4:20"] and rows() == 11
 
 
+def test_only_unseen_texts_are_scanned(spark, tmp_path, monkeypatch):
+    """On a second run, the texts that reach the scan are those of new blobs."""
+    ledger, reached, scan = f"{tmp_path}/ledger", [], S._scan
+    monkeypatch.setattr(S, "_scan", lambda texts, rules: scan(reached.append(sorted(r.text for r in texts.collect())) or texts, rules))
+    docs = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = [f"text {k} token=abcdefghijklmnop{k}" for k in range(20)]
+    S.find_secrets(docs(old), ledger, ()).collect()
+    got = S.find_secrets(docs([*old[:5], "new one", None, "new one"]), ledger, ()).collect()
+    assert reached == [sorted(old), ["", "new one"]] and len(got) == 8 and sum(r.n_assign for r in got) == 5
+    # broadcast or not, the same
+    monkeypatch.setattr("tablewright.llm.common.BROADCAST_ROWS", 0)
+    got = S.find_secrets(docs([*old, "newer", "newer"]), ledger, ()).collect()
+    assert reached[2] == ["newer"] and sum(r.n_assign for r in got) == 20
+    # the ledger's other blobs aren't joined
+    assert S.scan(docs(["newer"]), ledger, S.BASE).count() == 1
+
+
+def test_sql_folds_ascii_only(spark):
+    import duckdb
+    from tablewright.llm.oracles import SECRETS
+
+    found = duckdb.connect()
+    found.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, '\u017fecret=abcdefghijklmnop'), (2, 'SeCret=abcdefghijklmnop')) AS t(doc_id, text)")
+    want = {r[0]: r[1] for r in found.execute(f"SELECT doc_id, spans FROM ({SECRETS})").fetchall()}
+    docs = spark.createDataFrame([(1, "\u017fecret=abcdefghijklmnop"), (2, "SeCret=abcdefghijklmnop")], "doc_id long, text string")
+    assert want == {r.doc_id: r.spans for r in S.find_secrets(docs).collect()} == {1: "", 2: "assign:0:23"}
+
+
 def test_empty(spark):
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -1,9 +1,7 @@
-"""What the corpus operators share: table reading, lineage cuts, salted joins, components."""
+"""What the corpus operators share: table reading, tables between steps, spread joins, components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType
 
+from ..sources.scratch import cut
+from ..sources.scratch import shared_folder as checkpoint_folder
+
 #: Rows of a key beyond which a join doesn't gather them.
 HOT_ROWS = 10_000
 
@@ -36,27 +37,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
-
-    The folder is the one that ``spark.checkpoint.dir`` names. Only on a local master, as in tests, a
-    folder of our own is used where that is unset.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablewright-"))
-    return context.getCheckpointDir()
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the checkpoint folder and read again, and where it lies."""
     spark = df.sparkSession

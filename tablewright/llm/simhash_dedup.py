@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, lean, spread_join, text_code
+from .common import components, cut, lean, small_join, spread_join, text_code
 
 #: Fingerprints in a tile, about.
 TILE = 65_536
@@ -194,4 +194,4 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
     fps, roots = _grouped(docs, words, radius, tile)
     named = least_rows(fps, roots).select("root", F.col("least.doc_id").alias("component_id"))
     classes = cut(spread_join(roots, named, "root", ["fp"]).select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return small_join(fps, classes, "fp", ["doc_id", "code"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,7 +6,8 @@ order, ``MOST`` rounds of them. A document's virtual finish time is the number o
 source has sent by then, divided by the source's target. The queues are merged by finish time,
 range-sorted over the cluster, and cut where the total budget is reached.
 
-Sums within a source are taken over slices of its shuffled order (``SLICES`` a round, each with the
+The shuffled order is that of the MD5 of round, doc_id and text, so any engine can tell it again. Sums
+within a source are taken over slices of it (by the first ``SLICE`` digits in each round, each with the
 sum of the slices before it), so no source is gathered in a task, whatever its share of the rows.
 The merged queue's sums are taken the same way over the parts of the range sort.
 """
@@ -27,7 +28,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 #: Times that a document can be taken.
 MOST = 2
-SLICES = 1024
+#: Hexadecimal digits of a slice.
+SLICE = 3
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -89,17 +91,18 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
 
 def _mixed(docs: DataFrame, weights: Sequence[float], budget: float) -> DataFrame:
     code = text_code(F.col("text"))
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), code.alias("code"), F.xxhash64("doc_id", code).alias("_order"))
+    order = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), code.alias("code"), order.alias("_order"))
     rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
     # one row for each source; the hash groups null with null
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget)
-    goals = cut(goals.select(F.xxhash64("source").alias("_s"), "source_size", "target", F.sum("target").over(W.partitionBy()).alias("total")))
+    goals = cut(goals.select(F.xxhash64("source").alias("_s"), "source_size", "target", F.round(F.sum("target").over(W.partitionBy()), 6).alias("total")))
     rounds = F.explode(F.expr(f"sequence(0, {MOST - 1})"))
     queue = rows.where("size > 0").select("_row", "size", F.xxhash64("source").alias("_s"), "_order", rounds.alias("round"))
-    queue = queue.withColumn("_h", F.xxhash64("round", "_order")).withColumn("slice", F.shiftrightunsigned("_h", 54))
+    queue = queue.withColumn("_h", F.md5(F.concat_ws(":", "round", "_order"))).withColumn("slice", F.substring("_h", 1, SLICE)).drop("_order")
     sums = queue.groupBy("_s", "round", "slice").agg(F.sum("size").alias("n"))
     earlier = W.partitionBy("_s").orderBy("round", "slice").rowsBetween(W.unboundedPreceding, -1)
-    # SLICES * MOST rows for each source
+    # 16 ** SLICE * MOST rows for each source
     starts = sums.select("_s", "round", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     within = W.partitionBy("_s", "round", "slice").orderBy("_h", "_row").rowsBetween(W.unboundedPreceding, 0)
     timed = queue.withColumn("run", F.sum("size").over(within)).join(starts, ["_s", "round", "slice"])

@@ -7,8 +7,8 @@ is set and against it if not; the fingerprint has the bits that win.
 Two fingerprints within ``RADIUS`` bits agree in at least two of ``RADIUS + 2`` blocks. So there is a
 table for each pair of blocks, in which fingerprints with the same bits there share a bucket, and
 every pair within the radius meets in one. Large buckets are divided into chunks of bounded size;
-each fingerprint is held against its bucket's chunks within an expression, so pairs are counted
-but never made into rows.
+each chunk is held against its bucket's chunks within an expression, so pairs are counted but never
+made into rows.
 
 Everything is built-in column expressions. Votes are counted four bits to a long, 16 bits each, over
 at most ``TERMS`` terms of a document at a time, and unpacked when these counts are added up.
@@ -78,11 +78,11 @@ def near_counts(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Dat
     sizes = entries.groupBy("t", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = cut(sizes.select("t", "bits", F.ceil(F.col("n") / chunk).alias("chunks")))
     shared = entries.join(sizes, ["t", "bits"])
-    held = shared.groupBy("t", "bits", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk")).agg(F.collect_list("fp").alias("others"))
-    asked = shared.select("t", "bits", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    held = shared.groupBy("t", "bits", "chunks", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk")).agg(F.collect_list("fp").alias("others"))
+    asked = held.select("t", "bits", F.col("others").alias("fps"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
 
-    def meets(other: Column) -> Column:
-        x = F.col("fp").bitwiseXOR(other)
+    def meets(one: Column, other: Column) -> Column:
+        x = one.bitwiseXOR(other)
         # a pair counts in the table of its first two equal blocks only
         first = F.lit(False)
         for t, (a, b) in enumerate(tables):
@@ -93,8 +93,12 @@ def near_counts(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Dat
             first = first | here
         return (x != 0) & (F.bit_count(x) <= radius) & first
 
-    near = asked.join(held, ["t", "bits", "chunk"]).select("fp", F.size(F.filter("others", meets)).alias("n")).where("n > 0")
-    return near.groupBy("fp").agg(F.sum("n").alias("near"))
+    def counted(one: Column) -> Column:
+        return F.struct(one.alias("fp"), F.size(F.filter("others", lambda other: meets(one, other))).alias("n"))
+
+    met = asked.join(held.drop("chunks"), ["t", "bits", "chunk"])
+    near = met.select(F.explode(F.filter(F.transform("fps", counted), lambda x: x["n"] > 0)).alias("x"))
+    return near.groupBy("x.fp").agg(F.sum("x.n").alias("near"))
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 from tablewright.llm import sharding as S
 
@@ -31,3 +34,23 @@ def test_one_shard_and_empty(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert sorted((r.shard, r.slot) for r in S.shard(df, 1).collect()) == [(0, 0), (0, 1)]
     assert S.shard(df.limit(0)).collect() == []
+
+
+def test_against_brute_force(spark):
+    """The winner by every shard's score, worked out one by one."""
+    keys = [0, 1, -5, 2**62, *range(100, 400)]
+    weights = [1 + k % 3 for k in range(12)]
+    h = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+    score = lambda s, w, key: -w / math.log(((h(key, h(s, 42)) >> 12) + 0.5) / 2.0**52)
+    win = lambda key, weights: max(range(len(weights)), key=lambda s: (score(s, weights[s], key), -s))
+    docs = spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string")
+    for given in (None, weights):
+        used = given or [1.0] * 12
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in S.shard(docs, 12, given).collect()}
+        assert got == {k: (win(k, used), win(k, [*used, 1.0])) for k in keys}
+
+
+def test_very_long_text(spark):
+    text = "é" * 3_000_000
+    row = S.shard(spark.createDataFrame([(7, text)], "doc_id long, text string")).first()
+    assert (row["size"], row.text_crc32) == (6_000_016, zlib.crc32(text.encode()))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -56,3 +57,26 @@ def test_few_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c", None), (2, None, "s")], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in M.mix(df).collect()) == [(1, 3, 3, 4.5, 3), (2, 0, 0, 0.0, 0)]
     assert M.mix(df.limit(0)).collect() == []
+
+
+def test_very_long_text_and_exact_queue(spark):
+    """What the mix takes, told again by one queue of all documents, one of them far longer than the rest."""
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.randrange(1, 40), rng.choice("abcd")) for k in range(400)] + [(1000, "w " * 400_000, "b")]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += words(t)
+    target = brute_targets(sizes)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sent, queue = defaultdict(int), []
+    for k in range(2):
+        for h, d, t, s in sorted((md5(f"{k}:{d}:{md5(t)}"), d, t, s) for d, t, s in rows):
+            sent[s] += words(t)
+            queue.append((sent[s] / target[s], h, d, words(t)))
+    taken, total = defaultdict(int), 0
+    for _, _, d, n in sorted(queue):
+        total += n
+        if total <= round(sum(target.values()), 6):
+            taken[d] += n
+    got = {r.doc_id: r.taken for r in M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {d: taken[d] for d, _, _ in rows}

@@ -3,32 +3,28 @@
 A line of a text that holds several sentences is taken as several lines, so that a passage put
 into the middle of a paragraph still has lines of its own. Blank lines don't count. The method:
 
-* A window is the shortest run of lines from a given one on that holds ``SEEN`` words. Of each window
+* A window is the shortest run of lines from a given one on that holds ``words`` words. Of each window
   the line with the least hash is selected, the last of them if several have it. So a run of lines
   with as many words has a selected line wherever it occurs, and neighbouring windows mostly select
   the same one: a text has far fewer selected lines than windows.
-* Selected positions are joined by their line's hash. Text around those that occur once only is
-  never looked at again.
-* Around the others, the windows that hold them are matched with an earlier place: the nearest one
-  in the same document, or else the first one in the order of documents and lines. Windows are those
-  of ``SEEN`` words and of the full ``words``, from each line on and up to each line.
-* Matches at the same distance are extended both ways: over the windows that touch them, and then
-  word by word into the lines in which the two places part (``EDGE`` words at least, as fewer agree by
-  chance).
-* Matches that then have at least ``words`` words are deleted in the later place.
-
-So every run of whole lines with at least ``words`` words that occurs earlier is deleted, whichever
-document had its beginning first. Passages of as many words that begin or end within a line are
-found if whole lines hold at least ``SEEN`` of them, from the first place of one of their windows.
-
-What lies between the steps are tables of hashes: one row for each text, selected position, window
-around a shared one, or run. A hash or window that a third of the texts share is counted before it
-is shuffled and joined in parts. Texts are shuffled once, when the runs are deleted.
+* Selected positions meet by their line's hash. Those that are alone are told back to their texts,
+  and text around them is never looked at again.
+* From the others, matches are extended both ways as far as windows go that hold them: from each line
+  on, and up to each line. Windows with the same hash meet, and the first place of each, in the order
+  of documents and lines, is told back.
+* All windows at other places are later repeats. Those that overlap or touch are one run, which is
+  deleted.
+
+So a line is deleted if, and only if, it lies in a run of whole lines with at least ``words`` words
+that occurs earlier, whichever document had its beginning first.
+
+Nothing is joined on a hash, so no hash that a third of the texts share is a hot key: hashes are
+grouped, which combines before the shuffle, and what is alone or first goes back by document. Tables
+between the steps are rows of numbers; texts are shuffled once, when the runs are deleted.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,155 +34,155 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, id_columns, lean, spread_join, text_code
+from .common import cut, id_columns, lean, text_code
 
-#: Words of the shortest run that is deleted, and of the whole lines that a run is found by.
-WORDS, SEEN = 50, 25
-#: Words, at least, by which a run reaches into a line.
-EDGE = 3
+#: Words in whole lines of the shortest run that is deleted. A passage of 50 words that begins and ends
+#: within a sentence has about as many in whole ones.
+WORDS = 40
 
-#: Where a line is divided: white space after the end of a sentence, and line feeds.
-_ENDS = re.compile(rb"(?<=[.!?])[ \t\x0b\f\r]+|\n")
-_LONGS = pa.list_(pa.int64())
 #: What tells a text from others, in the order of documents.
 KEY = ["no_id", "id", "code"]
+_SPACES = bytes.maketrans(b"\t\x0b\f\r", b"    ")
 
 
 def lines_of(text: str | None) -> list[list[bytes]]:
-    """The words of each line that has any."""
-    return [words for part in _ENDS.split((text or "").encode("utf-8", "surrogatepass")) if (words := part.split())]
+    """The words of each line that has any: what line feeds divide, and white space after . ! or ?"""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_SPACES)
+    data = data.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n")
+    return [words for part in data.split(b"\n") if (words := part.split())]
 
 
 def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    whole, word = xxhash.xxh64_intdigest, xxhash.xxh32_intdigest
+    whole, join = xxhash.xxh64_intdigest, b" ".join
     for batch in batches:
-        hashes, sizes, words = [], [], []
+        hashes, sizes, total = [], [], []
         for text in batch.column(3):
             lines = lines_of(text.as_py())
-            hashes.append(np.fromiter((whole(b" ".join(x)) for x in lines), np.uint64, len(lines)).tobytes())
+            hashes.append(np.fromiter(map(whole, map(join, lines)), np.uint64, len(lines)).tobytes())
             sizes.append(np.fromiter(map(len, lines), np.int32, len(lines)).tobytes())
-            words.append(np.fromiter((word(w) for x in lines for w in x), np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.binary()) for x in (hashes, sizes, words))], [*KEY, "hashes", "sizes", "words"])
-
-
-def windows(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the shortest runs from each line on, or up to each line, with ``least`` words."""
-    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    ends = np.searchsorted(before, before[:-1] + least)
-    starts = np.flatnonzero(ends <= len(sizes))
-    back = np.searchsorted(before, before[1:] - least, "right") - 1
-    stops = np.flatnonzero(back >= 0)
-    pairs = np.unique(np.stack([np.concatenate([starts, back[stops]]), np.concatenate([ends[starts], stops + 1])], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def selected(hashes: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
-    """Places of the least hash in each shortest window from a line on, the last one of equals."""
-    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    ends = np.searchsorted(before, before[:-1] + least)
-    starts = np.flatnonzero(ends <= len(hashes))
-    ends = ends[starts]
-    best = starts.copy()
-    # each line has a word, so a window has no more lines than ``least``
-    for step in range(1, int((ends - starts).max(initial=0))):
-        at = np.minimum(starts + step, len(hashes) - 1)
-        best = np.where((starts + step < ends) & (hashes[at] <= hashes[best]), at, best)
-    return np.unique(best)
-
-
-def _selected(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+            total.append(sum(map(len, lines)))
+        held = [*(pa.array(x, pa.binary()) for x in (hashes, sizes)), pa.array(total, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *held], [*KEY, "hashes", "sizes", "total"])
+
+
+class Texts:
+    """The lines of several texts in a row. ``row`` is each line's text, ``first`` each text's first line."""
+
+    def __init__(self, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        n = np.array([len(x) for x in hashes], np.int64)
+        self.first, self.row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        self.hashes, self.sizes = np.concatenate([*hashes, np.empty(0, np.int64)]), np.concatenate([*sizes, np.empty(0, np.int32)])
+        self.end = np.cumsum(self.sizes, dtype=np.int64)
+        self.begin = self.end - self.sizes
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Texts:
+        """From the columns hashes and sizes."""
+        return cls(*([np.frombuffer(x.as_buffer(), kind) for x in batch.column(c)] for c, kind in (("hashes", np.int64), ("sizes", np.int32))))
+
+    def forth(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) line of the shortest run from each line on with ``words`` words."""
+        lines = np.arange(len(self.row))
+        last = np.searchsorted(self.end, self.begin + words)
+        ok = last < len(lines)
+        ok[ok] = self.row[last[ok]] == self.row[ok]
+        return lines[ok], last[ok]
+
+    def windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those and the shortest runs up to each line, without repeats, in order."""
+        lines = np.arange(len(self.row))
+        start = np.searchsorted(self.begin, self.end - words, "right") - 1
+        ok = start >= 0
+        ok[ok] = self.row[start[ok]] == self.row[ok]
+        first, last = (np.concatenate(x) for x in zip(self.forth(words), (start[ok], lines[ok]), strict=True))
+        # each line has a word, so a window has no more lines than ``words``
+        keys = np.unique(first * (words + 1) + last - first)
+        first, more = np.divmod(keys, words + 1)
+        return first, first + more
+
+    def selected(self, words: int) -> np.ndarray:
+        """Lines with the least hash in a shortest run from a line on, the last one of equals."""
+        first, last = self.forth(words)
+        best, at, some = first.copy(), first.copy(), np.arange(len(first))
+        while True:
+            at = at + 1
+            inside = at <= last[some]
+            some, at = some[inside], at[inside]
+            if not len(some):
+                return np.unique(best)
+            less = self.hashes[at] <= self.hashes[best[some]]
+            best[some[less]] = at[less]
+
+    def around(self, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) lines of the windows that hold a line in ``at``."""
+        marked = np.zeros(len(self.row) + 1, np.int64)
+        marked[at + 1] = 1
+        marked = np.cumsum(marked)
+        first, last = self.windows(words)
+        near = marked[last + 1] > marked[first]
+        return first[near], last[near]
+
+    def told(self, lists: pa.Array) -> np.ndarray:
+        """A list of numbers for each text, line numbers in it in their upper 32 bits, as such of all lines."""
+        lists = lists.fill_null([])
+        flat, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(np.asarray(lists.offsets))
+        return flat + (np.repeat(self.first, n) << 32)
+
+
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.astype(np.int64)) for c in columns]
+
+
+def _selected(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, row = [], []
-        places = []
-        for k, (hashes, sizes) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-            h = np.frombuffer(hashes.as_buffer(), np.int64)
-            at = selected(h, np.frombuffer(sizes.as_buffer(), np.int32), least)
-            found.append(h[at])
-            places.append(at)
-            row.append(np.full(len(at), k))
-        keys = batch.select([0, 1, 2]).take(pa.array(np.concatenate(row or [[]]).astype(np.int64)))
-        low, at = (pa.array(np.concatenate(x or [[]]).astype(np.int64)) for x in (found, places))
-        yield pa.RecordBatch.from_arrays([*keys.columns, low, at], [*KEY, "low", "at"])
-
-
-def around(hashes: np.ndarray, sizes: np.ndarray, at: np.ndarray, lengths: Iterable[int]) -> list[tuple[int, int, int, int | None]]:
-    """(hash, start, end, start of the nearest earlier like in this text) of the windows that hold a place in ``at``."""
-    marked = np.zeros(len(hashes) + 1, np.int64)
-    marked[at + 1] = 1
-    marked = np.cumsum(marked)
-    both = np.unique(np.concatenate([np.stack(windows(sizes, n), 1) for n in lengths]), axis=0)
-    both = both[marked[both[:, 1]] > marked[both[:, 0]]]
-    last: dict[int, int] = {}
-    out = []
-    data = hashes.tobytes()
-    for a, b in both.tolist():
-        h = xxhash.xxh64_intdigest(data[8 * a : 8 * b], 1) - (1 << 63)
-        out.append((h, a, b, last.get(h)))
-        last[h] = a
-    return out
-
-
-def _around(batches: Iterable[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, out = [], []
-        for k, (at, hashes, sizes) in enumerate(zip(*batch.columns[3:6], strict=True)):
-            found = around(np.frombuffer(hashes.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int32), np.asarray(at.values), lengths)
-            rows += [k] * len(found)
-            out += found
-        keys = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
-        columns = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c, pa.int64()) for c in columns)], [*KEY, "whole", "a", "b", "other"])
-
-
-def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of lines, and the words before each; lines before the first and after the last are empty."""
-    for batch in batches:
-        rows, lines, begins, words = [], [], [], []
-        for k, (wanted, sizes, every) in enumerate(zip(*batch.columns[3:6], strict=True)):
-            before = np.concatenate([[0, 0], np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32), dtype=np.int64)])
-            before = np.append(before, before[-1])
-            data = every.as_py()
-            for n in wanted.as_py():
-                rows.append(k)
-                lines.append(n)
-                begins.append(int(before[n + 1]))
-                words.append(data[4 * before[n + 1] : 4 * before[n + 2]])
-        keys = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(lines, pa.int64()), pa.array(begins, pa.int64()), pa.array(words, pa.binary())], [*KEY, "line", "begin", "words"])
+        texts = Texts.of(batch)
+        at = texts.selected(words)
+        row = texts.row[at]
+        yield pa.RecordBatch.from_arrays(_longs(texts.hashes[at], batch.column("place").to_numpy()[row], at - texts.first[row] << 32), ["low", "place", "at"])
+
 
+def _split(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """``values`` by their row, null for rows without any."""
+    offsets = np.searchsorted(row, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int64)), mask=pa.array(np.diff(offsets) == 0))
 
-def agree(a: bytes, b: bytes) -> int:
-    """How many words the two begin with in common."""
-    n = min(len(a), len(b)) // 4
-    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
-    return n if (same := x == y).all() else int(same.argmin())
+
+def _shared(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The texts that have selected lines besides those that are alone, with these."""
+    for batch in batches:
+        texts = Texts.of(batch)
+        at = np.setdiff1d(texts.selected(words), texts.told(batch.column("ats")) >> 32, assume_unique=True)
+        row = texts.row[at]
+        shared = _split(at - texts.first[row] << 32, row, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "hashes", "sizes")), shared], ["place", "hashes", "sizes", "at"]).filter(shared.is_valid())
 
 
-def _reversed(words: bytes) -> bytes:
-    return np.frombuffer(words, np.uint32)[::-1].tobytes()
+def _around(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        texts = Texts.of(batch)
+        first, last = texts.around(texts.told(batch.column("at")) >> 32, words)
+        data, row = memoryview(texts.hashes.tobytes()), texts.row[first]
+        whole = np.fromiter((digest(data[p:q], 1) for p, q in zip((8 * first).tolist(), (8 * last + 8).tolist(), strict=True)), np.uint64, len(first))
+        start = first - texts.first[row]
+        yield pa.RecordBatch.from_arrays(_longs(whole.view(np.int64), batch.column("place").to_numpy()[row], (start << 32) + last - first), ["whole", "place", "span"])
 
 
-def _extended(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Runs of words under windows that aren't told to be the first of their kind."""
     for batch in batches:
-        begins, ends, keep = [], [], []
-        for a, b, w0, w1, w2, w3 in zip(*(batch.column(k) for k in range(3, 9)), strict=True):
-            left, right = agree(_reversed(w0.as_py()), _reversed(w2.as_py())), agree(w1.as_py(), w3.as_py())
-            begin = a.as_py() - (left if left >= EDGE else 0)
-            end = b.as_py() + (right if right >= EDGE else 0)
-            begins.append(begin)
-            ends.append(end)
-            keep.append(end - begin >= least)
-        out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], [*KEY, "a", "b"])
-        yield out.filter(pa.array(keep, pa.bool_()))
-
-
-def _joined(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Runs [a, b) that touch or overlap become one, among those that agree in ``by``."""
-    order = W.partitionBy(*by).orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = runs.withColumn("_new", F.when(F.col("a") <= reach, 0).otherwise(1))
-    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+        texts = Texts.of(batch)
+        first, last = texts.around(texts.told(batch.column("at")) >> 32, words)
+        later = ~np.isin((first << 32) + last - first, texts.told(batch.column("spans")))
+        first, last = first[later], last[later]
+        # windows that touch or overlap, of one text, are one run
+        row, reach = texts.row[first], np.maximum.accumulate(last)
+        new = np.flatnonzero(np.concatenate([[True], (first[1:] > reach[:-1] + 1) | (row[1:] != row[:-1])])) if len(first) else np.empty(0, np.int64)
+        row, zero = row[new], texts.begin[texts.first[row[new]]]
+        a, b = texts.begin[first[new]] - zero, texts.end[reach[np.append(new[1:] - 1, len(first) - 1)] if len(new) else new] - zero
+        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(_longs(a, b), ["a", "b"]))
+        yield pa.RecordBatch.from_arrays([batch.column("place"), runs], ["place", "runs"]).filter(pa.array(np.diff(offsets) > 0))
 
 
 def _keys(doc_id: Column, text: Column, docs: DataFrame) -> list[Column]:
@@ -194,46 +190,33 @@ def _keys(doc_id: Column, text: Column, docs: DataFrame) -> list[Column]:
     return [no_id.alias("no_id"), known.alias("id"), text_code(text).alias("code")]
 
 
-def repeated_runs(docs: DataFrame, words: int = WORDS, seen: int = SEEN) -> DataFrame:
-    """(no_id, id, code, runs) of the texts with something to delete; ``runs`` lists the [a, b) of words, in
-    order and without overlap. The first three are the doc_id's and the text's, as in ``KEY``."""
-    seen = min(seen, words)
+def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(no_id, id, code, total, runs) of each distinct pair of doc_id and text: the number of words, and the
+    [a, b) of those to delete, in order and without overlap, null if none. The first three are as in ``KEY``."""
     texts = docs.select(*_keys(F.col("doc_id"), F.col("text"), docs), "text")
     types = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in KEY)
-    lines = cut(texts.mapInArrow(lambda batches: lean(_lines(batches)), f"{types}, hashes binary, sizes binary, words binary"))
-    prints = cut(lines.drop("words").mapInArrow(lambda batches: _selected(batches, seen), f"{types}, low long, at long"))
-    common = prints.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
-    shared = spread_join(prints, common, "low", ["code", "at"]).groupBy(*KEY).agg(F.collect_set("at").alias("at"))
-    held = shared.join(lines.select(*KEY, "hashes", "sizes"), KEY).select(*KEY, "at", "hashes", "sizes")
-    found = cut(held.mapInArrow(lambda batches: _around(batches, (seen, words)), f"{types}, whole long, a long, b long, other long"))
-
-    key, first = F.struct(*KEY), F.struct(F.col("first.key.*"))
-    firsts = found.where("other is null").groupBy("whole").agg(F.min(F.struct(key.alias("key"), "a")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where("n > 1").select("whole", first.alias("first"), F.col("first.a").alias("other"))
-    apart = spread_join(found.where("other is null").drop("other"), firsts, "whole", ["code", "a"]).where(key != F.col("first"))
-    within = found.where("other is not null").select(*KEY, "a", "b", key.alias("first"), "other")
-    hits = apart.select(*KEY, "a", "b", "first", "other").unionByName(within)
-    runs = _joined(hits.withColumn("far", F.col("a") - F.col("other")), [*KEY, "first", "far"])
-    runs = cut(runs.select(*KEY, "first", "a", "b", (F.col("a") - F.col("far")).alias("oa"), (F.col("b") - F.col("far")).alias("ob"))).withColumn("run", F.monotonically_increasing_id())
-
-    # the lines before and after each run, in both places: their words
-    mine, theirs = [F.col(c) for c in KEY], [F.col(f"first.{c}") for c in KEY]
-    sides = [(0, mine, F.col("a") - 1), (1, mine, F.col("b")), (2, theirs, F.col("oa") - 1), (3, theirs, F.col("ob"))]
-    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), *[c.alias(n) for c, n in zip(of, KEY, strict=True)], line.alias("line")) for k, of, line in sides]))
-    ends = cut(runs.select("run", ends.alias("e")).select("run", "e.*"))
-    wanted = ends.select(*KEY, "line").distinct().groupBy(*KEY).agg(F.collect_list("line").alias("wanted"))
-    edges = wanted.join(lines.select(*KEY, "sizes", "words"), KEY).select(*KEY, "wanted", "sizes", "words")
-    edges = edges.mapInArrow(lambda batches: lean(_edges(batches)), f"{types}, line long, begin long, words binary").dropDuplicates([*KEY, "line"])
-    ends = spread_join(ends, cut(edges), [*KEY, "line"], ["run"])
-    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    after = F.col("begin") + F.octet_length("words") / 4
-    ends = ends.withColumn("after", after.cast("long")).groupBy("run").agg(pick(0, "after").alias("a"), pick(1, "begin").alias("b"), *[pick(k, "words").alias(f"w{k}") for k in range(4)])
-    rows = runs.select(*KEY, "run").join(ends, "run").select(*KEY, "a", "b", "w0", "w1", "w2", "w3")
-    gone = _joined(rows.mapInArrow(lambda batches: _extended(batches, words), f"{types}, a long, b long"), KEY)
-    return gone.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
-
-
-def dedup_lines(docs: DataFrame, words: int = WORDS, seen: int = SEEN) -> DataFrame:
+    lines = texts.mapInArrow(lambda batches: lean(_lines(batches)), f"{types}, hashes binary, sizes binary, total long")
+    lines = lines.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("hashes", "sizes", "total")])
+    # numbered in the order of documents: the ids rise with the sorted partitions
+    lines = cut(lines.orderBy(*KEY)).withColumn("place", F.monotonically_increasing_id())
+    each = "place long, hashes binary, sizes binary"
+
+    def told(found: DataFrame, key: str, what: str, where: str) -> DataFrame:
+        """By place: ``what`` of the first rows of those keys for which ``where`` holds."""
+        first = found.groupBy(key).agg(F.min(F.struct("place", what)).alias("first"), F.count(F.lit(1)).alias("n")).where(where)
+        return first.select("first.*").groupBy("place").agg(F.collect_list(what).alias(f"{what}s"))
+
+    prints = lines.select("place", "hashes", "sizes").mapInArrow(lambda batches: lean(_selected(batches, words)), "low long, place long, at long")
+    held = lines.select("place", "hashes", "sizes").join(told(prints, "low", "at", "n = 1"), "place", "left")
+    held = cut(held.mapInArrow(lambda batches: lean(_shared(batches, words)), f"{each}, at array<long>"))
+    found = held.mapInArrow(lambda batches: lean(_around(batches, words)), "whole long, place long, span long")
+    # windows that occur once are their own first place
+    later = held.join(told(found, "whole", "span", "n > 0"), "place", "left")
+    runs = cut(later.mapInArrow(lambda batches: lean(_repeated(batches, words)), "place long, runs array<struct<a:long,b:long>>"))
+    return lines.select("place", *KEY, "total").join(runs, "place", "left").select(*KEY, "total", "runs")
+
+
+def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated runs taken out of text: a struct ``row`` of all its
     columns, and ``n_words`` and ``n_removed``.
 
@@ -249,14 +232,12 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, seen: int = SEEN) -> DataFr
     names = [f"_{c}" for c in KEY]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     rows = rows.select("row", *[c.alias(n) for c, n in zip(_keys(F.col("row.doc_id"), F.col("row.text"), docs), names, strict=True)])
-    runs = repeated_runs(docs, words, seen).withColumnsRenamed(dict(zip(KEY, names, strict=True)))
+    runs = repeated_runs(docs, words).withColumnsRenamed(dict(zip(KEY, names, strict=True)))
     copy = F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0)))
-    rows = rows.join(runs, names, "left").withColumn("copy", copy)
+    rows = rows.join(runs, names).withColumn("copy", copy).withColumnRenamed("total", "n_words")
     text, space = F.col("row.text"), r"[ \t\n\x0B\f\r]"
     # each word with the white space after it
     tokens = F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"), F.lit(0))
-    n = F.coalesce(F.size(tokens), F.lit(0)).cast("long")
-    rows = rows.withColumn("n_words", F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n))
     last = F.col("n_words") - 1
 
     def kept(t: Column, i: Column) -> Column:

@@ -64,4 +64,9 @@ QUERIES = {
 }
 
 #: The others can't be told in SQL, and are held against brute force in the tests.
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": oracles.TOP_K, "op6_secret_scan": oracles.SECRETS}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk_search": oracles.TOP_K,
+    "op6_secret_scan": oracles.SECRETS,
+    "op9_line_dedup": oracles.LINES,
+    "op10_source_mixing": oracles.MIX,
+}

@@ -13,8 +13,8 @@ def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def brute(rows, words=50, seen=25):
-    """[(doc_id, text, new text)]: every window's content is held against every earlier place."""
+def brute(rows, words=40):
+    """[(doc_id, text, new text)]: a line goes if it is in a run of lines, of as many words, that occurs earlier."""
     code = lambda t: signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
     docs = sorted({(d is None, d or 0, code(t), d, t or "") for d, t in rows})
     tokens = [re.findall(rf"[^{SPACE}]+[{SPACE}]*", doc[4]) for doc in docs]
@@ -23,44 +23,21 @@ def brute(rows, words=50, seen=25):
     for x in tokens:
         cuts = [0, *(n + 1 for n, t in enumerate(x) if "\n" in t or n == len(x) - 1 or t.strip(SPACE)[-1] in ".!?")] if x else [0]
         lines.append(list(zip(cuts, cuts[1:])))
-
-    def windows(k):
-        out = set()
-        for least in (min(seen, words), words):
-            for n in range(len(lines[k])):
-                forth = next((m for m in range(n, len(lines[k])) if lines[k][m][1] - lines[k][n][0] >= least), None)
-                back = next((m for m in range(n, -1, -1) if lines[k][n][1] - lines[k][m][0] >= least), None)
-                out |= {(n, forth + 1)} if forth is not None else set()
-                out |= {(back, n + 1)} if back is not None else set()
-        return sorted(out)
-
-    content = lambda k, a, b: tuple(tuple(plain[k][p:q]) for p, q in lines[k][a:b])
-    first, pairs = {}, set()
+    seen, gone = set(), [set() for _ in docs]
     for k in range(len(docs)):
-        last = {}
-        for a, b in windows(k):
-            w = content(k, a, b)
-            if w in last:
-                pairs.add((k, a, b, k, last[w]))
-            elif w in first:
-                pairs.add((k, a, b, *first[w]))
-            last[w] = a
-            first.setdefault(w, (k, a))
-    chains = []
-    for k, a, b, f, c in sorted(pairs, key=lambda p: (p[0], p[3], p[1] - p[4], p[1], p[2])):
-        if chains and chains[-1][0] == k and chains[-1][3] == f and chains[-1][1] - chains[-1][4] == a - c and a <= chains[-1][2]:
-            chains[-1][2] = max(chains[-1][2], b)
-        else:
-            chains.append([k, a, b, f, c])
-    gone = [set() for _ in docs]
-    for k, a, b, f, c in chains:
-        begin, end = lines[k][a][0], lines[k][b - 1][1]
-        inside = lambda f, n: plain[f][slice(*lines[f][n])] if 0 <= n < len(lines[f]) else []
-        same = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-        left, right = same(inside(k, a - 1)[::-1], inside(f, c - 1)[::-1]), same(inside(k, b), inside(f, c + b - a))
-        begin, end = begin - left * (left >= 3), end + right * (right >= 3)
-        if end - begin >= words:
-            gone[k].update(range(begin, end))
+        for n in range(len(lines[k])):
+            # the runs from this line on: longer ones than the shortest matter too, up to the longest shortest one back
+            new = []
+            for m in range(n, len(lines[k])):
+                begin, end = lines[k][n][0], lines[k][m][1]
+                if end - begin >= words:
+                    run = tuple(tuple(plain[k][p:q]) for p, q in lines[k][n : m + 1])
+                    if run in seen:
+                        gone[k].update(range(begin, end))
+                    new.append(run)
+                    if lines[k][m][0] - lines[k][n][1] >= words:
+                        break
+            seen.update(new)
     new = {}
     for k, doc in enumerate(docs):
         x, out = tokens[k], re.match(rf"[{SPACE}]*", doc[4])[0] if 0 not in gone[k] else ""
@@ -82,14 +59,14 @@ def brute(rows, words=50, seen=25):
 
 def test_against_brute_force(spark):
     rng = random.Random(4)
-    for words, seen in ((6, 6), (9, 4), (1, 25)):
+    for words in (6, 9, 1):
         pool = [" ".join(rng.choices(["a", "b", "c", "d", "e.", "f", "g"], k=rng.choice([0, 1, 2, 3, 7, 9]))) for _ in range(14)]
         rows = [(rng.randrange(10**6), rng.choice(["\n", "\n", " ", "\n\n"]).join(rng.choices(pool, k=rng.randrange(1, 12)))) for _ in range(150)]
         rows += [(10, " x  y z\nq r s t"), (11, "x y z\nq\tr s t "), (12, ""), (13, None), (None, "x y z\nq r s t"), (None, "x y z\nq r s t"), (14, "a b\n" * 40), (15, "a b\n" * 300), (16, " \n "), (17, "é ß. Ü! é ß. Ü! é ß. Ü! é ß")]
         rows += [rows[3], rows[3], (13, None)]
         df = spark.createDataFrame([(d, t, "n", 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, `row` string, code int, runs int, id int, copy int").repartition(5)
-        got = L.dedup_lines(df, words, seen).collect()
-        assert sorted(((r.row.doc_id, r.row.text) for r in got), key=str) == sorted(((d, n) for d, _, n in brute(rows, words, seen)), key=str)
+        got = L.dedup_lines(df, words).collect()
+        assert sorted(((r.row.doc_id, r.row.text) for r in got), key=str) == sorted(((d, n) for d, _, n in brute(rows, words)), key=str)
         assert all(r.row.code == 1 and r.row.runs == 2 and r.row.row == "n" for r in got)
         for r in got:
             assert r.n_words - r.n_removed == len((r.row.text or "").split())
@@ -104,12 +81,12 @@ def test_keeps_common_short_lines_and_first_copies(spark):
 
 
 def test_passage_within_a_line(spark):
-    """Its first sentence shares a line with other words; whole lines have fewer than 50 words of it."""
-    passage = " ".join(f"p{k}{'.' if k % 9 == 8 else ''}" for k in range(53)) + "."
-    rows = [(k, f"Own words come{k} {passage} after{k} it more {k} goes\non and{k} on.") for k in range(3)]
+    """It has no line feed before or after it; its first sentence shares a line with other words."""
+    passage = [" ".join(f"p{n}x{k}" for k in range(9)) + "." for n in range(6)]
+    rows = [(k, f"Own words come{k} {' '.join(passage)} after{k} it more {k} goes\non and{k} on.") for k in range(3)]
     got = {r.row.doc_id: r.row.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {k: t if not k else t.replace(passage + " ", "") for k, t in rows}
-    few = [(k, t.replace("p9 ", f"q{k} ").replace("p30 ", f"r{k} ")) for k, t in rows]  # no 50 words in a row
+    assert got == {k: t if not k else t.replace(" ".join(passage[1:]) + " ", "") for k, t in rows}
+    few = [(k, t.replace("p3x3 ", f"q{k} ")) for k, t in rows]  # no 40 words in whole lines
     assert {r.row.doc_id: r.row.text for r in L.dedup_lines(spark.createDataFrame(few, "doc_id long, text string")).collect()} == dict(few)
 
 
@@ -127,12 +104,17 @@ def test_end_of_a_passage_whose_beginning_came_earlier(spark):
 def test_selects_minima_of_windows():
     """Each window has a selected line, its least, and there are far fewer of these than windows."""
     rng = np.random.default_rng(3)
-    sizes, hashes = rng.integers(1, 15, 5000).astype(np.int32), rng.integers(-(2**63), 2**63 - 1, 5000)
-    at = set(L.selected(hashes, sizes, 25).tolist())
-    starts, ends = L.windows(sizes, 25)
-    forth = [(a, b) for a, b in zip(starts, ends) if sizes[a : b - 1].sum() < 25]
-    assert all(a + int(hashes[a:b].argmin()) in at for a, b in forth) and at == {a + int(hashes[a:b].argmin()) for a, b in forth}
-    assert len(at) < 0.5 * len(forth) < len(starts)
+    sizes = [rng.integers(1, 15, n).astype(np.int32) for n in (0, 1, 3, 2000, 0, 3000, 2)]
+    hashes = [rng.integers(-(2**63), 2**63 - 1, len(x)) for x in sizes]
+    texts, want, n_windows = L.Texts(hashes, sizes), set(), 0
+    for first, h, s in zip(texts.first.tolist(), hashes, sizes):
+        for a in range(len(s)):
+            b = next((b for b in range(a + 1, len(s) + 1) if s[a:b].sum() >= 25), None)
+            if b:
+                n_windows += 1
+                want.add(first + a + int(h[a:b].argmin()))
+    assert set(texts.selected(25).tolist()) == want and len(want) < 0.5 * n_windows
+    assert n_windows == len(texts.forth(25)[0]) < len(texts.windows(25)[0])
 
 
 def test_a_long_text_of_equal_lines_takes_linear_time(spark):

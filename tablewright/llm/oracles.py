@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+from .common import tokenizer_path
 from .line_dedup import WORDS
 from .secret_scan import BASE, RULES
 from .source_mixing import BUDGET, MOST, SLICE, WEIGHTS
 
+#: The vocabulary of op4.
+TOKENS = "byte_bpe_50k.tiktoken"
+
 TOP_K = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
@@ -58,6 +62,20 @@ SELECT doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE (CASE WHEN ta
 FROM (SELECT d.doc_id, d.text, o.*, (CASE WHEN head THEN '' ELSE regexp_extract(text, '^{_GAP}*') END) || body AS u FROM d LEFT JOIN o USING (place))
 """
 
+#: A vocabulary's tokens as hexadecimal digits; of each place in each word the longest token; then from token to token.
+COUNTS = f"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(split_part(line, ' ', 1))) AS h FROM read_csv('{tokenizer_path(TOKENS)}', columns = {{'line': 'VARCHAR'}}, header = FALSE, delim = '\\x01', quote = '', escape = '')),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM documents),
+u AS (SELECT w, hex(encode(' ' || w)) AS h FROM (SELECT DISTINCT w FROM w)),
+x AS (SELECT left(h, 6) AS a, max(length(h) // 2) AS most FROM v WHERE length(h) >= 6 GROUP BY 1),
+p AS (SELECT w, h, unnest(range(length(h) // 2)) AS pos FROM u),
+r AS (SELECT w, pos, substr(h, 2 * pos + 1, 2 * coalesce(most, 2)) AS h FROM p LEFT JOIN x ON a = substr(h, 2 * pos + 1, 6)),
+m AS (SELECT w, pos, max(length(v.h) // 2) AS n FROM (SELECT w, pos, unnest(list_transform(range(1, length(h) // 2 + 1), lambda k: left(h, 2 * k))) AS h FROM r) q JOIN v ON q.h = v.h GROUP BY w, pos),
+g AS (SELECT w, CAST(0 AS BIGINT) AS pos, 0 AS n, length(h) // 2 AS size FROM u UNION ALL SELECT g.w, g.pos + m.n, g.n + 1, g.size FROM g JOIN m ON g.w = m.w AND g.pos = m.pos),
+c AS (SELECT w, coalesce(max(CASE WHEN pos = size THEN n END), 1) AS n FROM g GROUP BY w)
+SELECT d.doc_id, count(w.w) AS n_words, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS n_tokens FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN c ON w.w = c.w GROUP BY d.doc_id
+"""
+
 _CYCLE = f"[{', '.join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS INT) + 1]"
 MIX = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS o FROM documents),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -120,10 +121,34 @@ def _facts(edges: DataFrame) -> tuple[tuple[int, int | None], int]:
     return (row[0] or 0, row[1]), row[2] or 0
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task joins, 16 bytes each.
+TASK_EDGES = 1_000_000
+
+
+def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges in ``batches``: each node takes the least label of its neighbours, and the
+    label of its label, until nothing changes."""
+    held = list(batches)
+    u, v = (np.concatenate([np.empty(0, np.int64), *(np.asarray(batch.column(k)) for batch in held)]) for k in (0, 1))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, label = place[: len(u)], place[len(u) :], np.arange(len(nodes))
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            break
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label != (further := label[label])).any():
+            label = further
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "root"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of ``edges`` (u long, v long) as (node, root), root the smallest node.
 
-    Alternates large-star and small-star steps until the edges stay the same. Each step takes a
+    Up to ``task_edges`` edges, which are counted first, are joined in one task. Of more, it
+    alternates large-star and small-star steps until the edges stay the same. Each step takes a
     minimum per node, combined before the shuffle, and joins it back; where a node has so many
     edges that this would gather them, the join is spread. The driver only sees counts and a hash. Nodes without an edge to another node don't appear.
     """
@@ -134,6 +159,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)
+    if edges.count() <= task_edges:
+        return cut(edges.coalesce(1).mapInArrow(joined, "node long, root long"))
     seen, most = _facts(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,7 +5,7 @@ import corpus_pipeline as P
 from pyspark.sql import functions as F
 from tests.llm.test_best_fit_packing import check
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash_dedup import brute as brute_near
+from tests.llm.test_near_copies import brute as brute_near
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -43,10 +43,16 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept[1])
     # a doc_id can be in several groups, so rows are numbered in its order
     ordered = sorted(pairs(kept[1]), key=lambda r: (r[0] is None, r[0] or 0))
-    first = {c for _, _, c in brute_near([(n, t) for n, (_, t) in enumerate(ordered)])}
-    assert Counter(r.doc_id for r in kept[2]) == Counter(ordered[n][0] for n in first)
+    first = brute_near([(n, t) for n, (_, t) in enumerate(ordered)])
+    assert Counter(r.doc_id for r in kept[2]) == Counter(ordered[n][0] for _, n in first)
     assert set(pairs(kept[3])) <= set(pairs(kept[2])) and max(Counter(r.doc_id for r in kept[3]).values()) == 2
     total = sum(len((r.text or "").split()) for r in kept[2])
     assert abs(sum(len(r.text.split()) for r in kept[3]) - 1.5 * total) < 1000
     assert check(kept[4], pairs(kept[3]), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))) >= 1
     assert P.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []

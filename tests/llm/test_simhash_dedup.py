@@ -73,8 +73,9 @@ def test_forest_spans_all_links():
 
 
 @pytest.mark.parametrize("hot_rows", [10_000, 5])
-def test_components_of_chain_and_star(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_components_of_chain_and_star(spark, monkeypatch, hot_rows, task_edges):
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), task_edges).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}

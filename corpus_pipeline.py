@@ -59,4 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             removed(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    # packing has cut its lineage: the result no longer reads the last table
+    removed(spark, before)
+    return out

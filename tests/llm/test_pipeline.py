@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
+from tablewright.llm.line_dedup import WORDS
 from tests.llm.test_best_fit_packing import check
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_copies import brute as brute_near
@@ -39,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     pairs = lambda rows: [(r[0], r[1]) for r in rows]
     clean = [r for r in rows if not any(w in (r[1] or "") for w in ("zzork", "quux", "vroxy"))]
     assert Counter(pairs(kept[0])) == Counter(pairs(clean))
-    assert Counter(pairs(kept[1])) == Counter((d, n) for d, _, n in brute_lines(pairs(kept[0]), 50))
+    assert Counter(pairs(kept[1])) == Counter((d, n) for d, _, n in brute_lines(pairs(kept[0]), WORDS))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept[1])
     # a doc_id can be in several groups, so rows are numbered in its order
     ordered = sorted(pairs(kept[1]), key=lambda r: (r[0] is None, r[0] or 0))

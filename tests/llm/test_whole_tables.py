@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
-from tablewright.llm import registry
+from tablewright.llm import line_dedup, registry
 from tablewright.llm.common import tokenizer_path
 from tests.llm import test_best_fit_packing, test_document_fingerprints, test_line_dedup, test_secret_scan, test_simhash_dedup, test_source_mixing, test_token_counts, test_topk_search
 
@@ -89,7 +89,7 @@ def test_op8_held_out(spark, docs):
 
 def test_op9(spark, docs):
     got = sorted(((r.doc_id, r.text) for r in run(spark, "op9_line_dedup")), key=str)
-    assert got == sorted(((d, n) for d, _, n in test_line_dedup.brute(docs, 50)), key=str)
+    assert got == sorted(((d, n) for d, _, n in test_line_dedup.brute(docs, line_dedup.WORDS)), key=str)
 
 
 def test_op10(spark):

@@ -40,7 +40,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Likelihood ratio (twice the logarithm) below which the penalty rises with the third power.
 WEAK = 10.0
 #: Words that a worker remembers, and bytes of text that are read together.
-REMEMBERED, TOGETHER = 1_000_000, 16 << 20
+REMEMBERED, TOGETHER = 200_000, 4 << 20
 
 
 def of_word(word: str, prefixes: Sequence[int] = PREFIXES) -> list[str]:
